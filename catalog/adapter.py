@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table whose file has fewer splits than there are cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def pick(values: Sequence[str | None], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v).cast("string") for v in values]), (index % len(values)).cast("int"))
 
@@ -74,7 +80,7 @@ def _skills(k: Column, c: Column, p: Column) -> Column:
 
 def candidates(spark: SparkSession, sf_dir: str, *, summaries: bool = False, embeddings: bool = False) -> DataFrame:
     """One profile per order. ``summaries`` adds a whole document as summary, ``embeddings`` a vector."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     p = F.floor("o_totalprice")
     day = F.to_date("o_orderdate")
@@ -148,7 +154,7 @@ def region_jds_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_jds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whole, as a description between an opening and a closing line."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("jd_id"),
         F.concat_ws(
             "\n",

@@ -33,6 +33,9 @@ def _folds() -> tuple[str, str, str]:
     single, removed, longer = [], [], []
     for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         char = chr(code)
+        hangul = 0xAC00 <= code <= 0xD7A3  # decomposed by rule, so the database lists nothing for them
+        if not (hangul or unicodedata.decomposition(char) or unicodedata.combining(char)):
+            continue
         folded = strip_marks(char)
         if folded == char:
             continue
@@ -63,9 +66,14 @@ def strip_marks(value: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
 
 
+# Every character up to U+0131 folds to at most one character, the three fractions excepted. The long class of
+# ``_folds`` is slow per character, so it is only tried on texts that hold something else.
+BEYOND_LATIN = r"[^\x00-\xbb\xbf-\x{131}]"
+
+
 def needs_full_fold(column: Column) -> Column:
     """True for texts with characters whose fold is longer than one character (ligatures, Hangul, ...)."""
-    return column.rlike(_folds()[2])
+    return column.rlike(BEYOND_LATIN) & column.rlike(_folds()[2])
 
 
 def fold_accents(column: Column) -> Column:

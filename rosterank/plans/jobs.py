@@ -12,7 +12,16 @@ FALLBACK_BELOW = 5
 
 
 def extract_jd_features(jds: DataFrame) -> DataFrame:
-    """jd_id, text -> jd_id, text, exp_min, exp_max, locations, skill_weights (heaviest first).
+    """jd_id, text -> written table jd_id, text, exp_min, exp_max, locations, skill_weights (heaviest first).
+
+    Written, because a filter on the arrays (``explode`` adds one by itself) would be pushed through the
+    projections of ``feature_columns`` and pull the whole-text expressions back into the lambdas.
+    """
+    return stage(feature_columns(jds), "jd-features")
+
+
+def feature_columns(jds: DataFrame) -> DataFrame:
+    """The features as a lazy projection.
 
     Row-local from end to end: vocabularies are literal arrays, so a table of any number of descriptions is one
     scan without join or shuffle. Each ``select`` below only reads columns the previous one has finished; that

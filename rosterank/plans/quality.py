@@ -83,7 +83,8 @@ def violations(rows: DataFrame, expected_rows: int = EXPECTED_ROWS) -> DataFrame
     missing = (
         rows.select("file")
         .distinct()
-        .withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(expected_rows))).cast("decimal(38,0)"))
+        .withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(expected_rows))))
+        .select("file", F.col("place").cast("decimal(38,0)").alias("rank"))
         .join(ranked.select("file", "rank").distinct(), ["file", "rank"], "left_anti")
     )
     comparable = parsed.filter(F.col("rank").isNotNull() & F.col("score").isNotNull() & (F.col("cid") != ""))

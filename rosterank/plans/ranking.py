@@ -126,16 +126,24 @@ def rerank_ties(ranked: DataFrame, key: str = "jd_id") -> DataFrame:
 
 
 def explain_ranked(ranked: DataFrame, pool: DataFrame, features: DataFrame) -> DataFrame:
-    """Add ``reasoning``. ``ranked`` holds at most k rows per description and is what gets broadcast."""
+    """Add ``reasoning``. ``ranked`` holds at most k rows per description, so it is broadcast to the pool."""
+    profiles = pool.select("candidate_id", "jd_ids", "profile", "career_history", "skills", "signals")
+    found = profiles.join(F.broadcast(ranked), "candidate_id").filter(F.array_contains("jd_ids", F.col("jd_id")))
+    return _explain(found, ranked.columns, features)
+
+
+def explain_pairs(pool: DataFrame, pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """``explain_ranked`` for any number of pairs: both sides are shuffled on the candidate."""
+    profiles = pool.select("candidate_id", "jd_ids", "profile", "career_history", "skills", "signals")
+    found = profiles.join(pairs, "candidate_id").filter(F.array_contains("jd_ids", F.col("jd_id")))
+    return _explain(found, pairs.columns, features)
+
+
+def _explain(found: DataFrame, columns: list[str], features: DataFrame) -> DataFrame:
     about = features.select("jd_id", "exp_min", "exp_max", "locations", "skill_weights")
-    found = (
-        pool.select("candidate_id", "jd_ids", "profile", "career_history", "skills", "signals")
-        .join(F.broadcast(ranked), "candidate_id")
-        .filter(F.array_contains("jd_ids", F.col("jd_id")))
-        .join(F.broadcast(about), "jd_id")
-    )
+    found = found.join(F.broadcast(about), "jd_id")
     picked = found.select(
-        *[F.col(c) for c in ranked.columns],
+        *[F.col(c) for c in columns],
         "exp_min",
         "exp_max",
         "locations",
@@ -145,7 +153,7 @@ def explain_ranked(ranked: DataFrame, pool: DataFrame, features: DataFrame) -> D
         explain.first_relevant_job(F.col("career_history"), F.col("skill_weights")).alias("job"),
     )
     clauses = picked.select(
-        *[F.col(c) for c in ranked.columns],
+        *[F.col(c) for c in columns],
         explain.skill_clause(
             F.col("profile.years_of_experience"),
             F.col("skill"),
@@ -190,7 +198,7 @@ def rank_candidates(
     Descriptions are independent of each other, so more than ``max_descriptions`` of them are ranked in hash
     blocks of about half that size and the results united.
     """
-    features = stage(extract_jd_features(jds), "jd-features")
+    features = extract_jd_features(jds)
     if semantic == "dense":
         features = stage(features.join(jds.select("jd_id", "embedding"), "jd_id"), "jd-vectors")
     count = features.count()

@@ -89,3 +89,9 @@ def refresh_ranking(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def latest_ranking(spark: SparkSession, store: str) -> DataFrame:
+    """The newest version written by ``refresh_ranking``."""
+    versions = spark.read.parquet(store)
+    return versions.filter(F.col("batch") == versions.agg(F.max("batch")).scalar()).drop("batch")
