@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,16 +22,23 @@ def lowered(column: Column) -> Column:
     return F.lower(text(column))
 
 
+def literal(value: object, ddl: str) -> Column:
+    """A nested constant. The optimizer folds it to one literal, however many entries it has."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
 def strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return literal(list(values), "array<string>")
 
 
 def contains_any(haystack: Column, needles: Sequence[str]) -> Column:
-    """One fixed alternation of substring tests; stays inside whole-stage codegen (no lambda)."""
-    test = F.lit(False)
-    for needle in needles:
-        test = test | F.contains(haystack, F.lit(needle))
-    return test
+    """One pattern of alternatives: compiled once per task and kept inside whole-stage codegen (no lambda)."""
+    return haystack.rlike("|".join(re.escape(n) for n in needles))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once where ``use`` refers to it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def steps(value: Column, bounds: Sequence[tuple[float, float]], *, at_most: bool) -> Column:

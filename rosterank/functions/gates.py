@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rosterank import vocab
-from rosterank.functions.basics import contains_any, lowered, text
+from rosterank.functions.basics import contains_any, literal, lowered, text
 
 
 def in_home_country(country: Column) -> Column:
@@ -55,26 +55,21 @@ def tenure_overflow(career: Column, yoe: Column) -> Column:
 
 
 def too_old_skill(skills: Column, as_of: dt.date) -> Column:
-    """First (skill, technology) pair used for longer than the technology exists; NULL when there is none."""
-    ages = F.array(
-        *[
-            F.struct(
-                F.lit(tech).alias("tech"),
-                F.lit(born).alias("born"),
-                F.lit((as_of.year - born - 1) * 12).cast("bigint").alias("ceiling"),
-            )
-            for tech, born in vocab.TECH_BIRTH_YEARS
-        ]
-    )
+    """Message about the first (skill, technology) pair used for longer than the technology exists."""
+    rows = [
+        {"tech": tech, "born": born, "ceiling": (as_of.year - born - 1) * 12} for tech, born in vocab.TECH_BIRTH_YEARS
+    ]
+    ages = literal(rows, "array<struct<tech:string,born:int,ceiling:bigint>>")
 
-    def first_hit(skill: Column) -> Column:
+    def message(skill: Column) -> Column:
         claimed = F.coalesce(skill["duration_months"], F.lit(0).cast("bigint"))
         hits = F.filter(ages, lambda a: (claimed > a["ceiling"]) & F.contains(lowered(skill["name"]), a["tech"]))
-        return F.struct(
-            text(skill["name"]).alias("name"), claimed.alias("claimed"), F.get(hits, F.lit(0))["born"].alias("born")
-        )
+        return F.concat(
+            F.lit("'"), text(skill["name"]), F.lit("' claimed "), claimed.cast("string"),
+            F.lit("mo but only exists since "), F.get(hits, F.lit(0))["born"].cast("string"),
+        )
 
-    return F.get(F.filter(F.transform(skills, first_hit), lambda h: h["born"].isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(skills, message), lambda m: m.isNotNull()), F.lit(0))
 
 
 def unused_expertise(skills: Column) -> Column:
@@ -112,7 +107,6 @@ def inflated_endorsements(skills: Column) -> Column:
 
 def honeypot_reason(skills: Column, career: Column, yoe: Column, as_of: dt.date) -> Column:
     """Reason of the first rule a profile breaks; NULL for a plausible profile."""
-    old = too_old_skill(skills, as_of)
     idle = unused_expertise(skills)
     years = F.coalesce(yoe, F.lit(0.0))
     return F.coalesce(
@@ -123,10 +117,7 @@ def honeypot_reason(skills: Column, career: Column, yoe: Column, as_of: dt.date)
                 years.cast("string"), F.lit("yr)"),
             ),
         ),
-        F.concat(
-            F.lit("'"), old["name"], F.lit("' claimed "), old["claimed"].cast("string"),
-            F.lit("mo but only exists since "), old["born"].cast("string"),
-        ),
+        too_old_skill(skills, as_of),
         F.when(idle >= 3, F.concat(F.lit("Expert on "), idle.cast("string"), F.lit(" skills with 0 months each"))),
         F.when(starts_before_1990(career), F.lit("Career start date before 1990")),
         F.when(inflated_endorsements(skills), F.lit("Endorsement count inconsistent with usage duration")),

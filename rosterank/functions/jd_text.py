@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rosterank import vocab
-from rosterank.functions.basics import BLANK, WORD, exact_round, strings
+from rosterank.functions.basics import BLANK, WORD, exact_round, literal, strings
 from rosterank.functions.scores import LEVEL_BREAK
 
 YEARS = r"(?:years?|yrs?)"
@@ -49,16 +49,11 @@ def locations(low_text: Column) -> Column:
 
 
 def _vocabulary() -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(term).alias("term"),
-                F.lit(vocab.TIER_WEIGHTS[tier][0]).alias("weight"),
-                F.lit(vocab.TIER_WEIGHTS[tier][1]).alias("unnamed_weight"),
-            )
-            for tier, term in vocab.tiered_terms()
-        ]
-    )
+    rows = [
+        {"term": term, "weight": vocab.TIER_WEIGHTS[tier][0], "unnamed_weight": vocab.TIER_WEIGHTS[tier][1]}
+        for tier, term in vocab.tiered_terms()
+    ]
+    return literal(rows, "array<struct<term:string,weight:double,unnamed_weight:double>>")
 
 
 def vocabulary_hits(low_text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from rosterank.functions.basics import exact_round
+from rosterank.functions.basics import exact_round, once
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -25,7 +25,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def dense_score(a: Column, b: Column) -> Column:
     """Cosine cut at 0 and rounded; unlike the TF-IDF score it is not divided by the pool's best."""
-    return exact_round(F.greatest(cosine(a, b), F.lit(0.0)), 4)
+    return once(F.greatest(cosine(a, b), F.lit(0.0)), lambda score: exact_round(score, 4))
 
 
 def encode_texts(

@@ -8,14 +8,13 @@ reach the file scan as constants.
 from __future__ import annotations
 
 import datetime as dt
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterank.functions import gates
-from rosterank.functions.basics import strings
+from rosterank.functions.basics import literal, strings
 from rosterank.operators.topk import top_per_group
 from rosterank.staging import stage
 
@@ -40,7 +39,7 @@ def read_gates(features: DataFrame) -> Gates:
     items = sorted((r.asDict() for r in rows), key=lambda r: r["jd_id"])
     ddl = "array<struct<jd_id:string,exp_min:bigint,exp_max:bigint,locations:array<string>>>"
     return Gates(
-        array=F.from_json(F.lit(json.dumps(items)), ddl),
+        array=literal(items, ddl),
         exp_min=float(min((r["exp_min"] for r in items), default=0)),
         exp_max=float(max((r["exp_max"] for r in items), default=0)),
         places=tuple(sorted({place for r in items for place in r["locations"]})),
