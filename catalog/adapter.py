@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import phrases
+from rosterank.functions.basics import literal
 
 AS_OF = dt.date(2024, 1, 31)
 USERS = 200
@@ -29,7 +30,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def pick(values: Sequence[str | None], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), (index % len(values)).cast("int"))
+    return F.get(literal(list(values), "array<string>"), (index % len(values)).cast("int"))
 
 
 def signals_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
