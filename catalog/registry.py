@@ -49,18 +49,15 @@ def relaxed_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.pool_pairs(_pool(spark, sf_dir)[0])
 
 
-def _row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    survivors, features = _pool(spark, sf_dir)
-    levels = jobs.with_weight_levels(features).select("jd_id", "exp_min", "exp_max", "levels")
-    return ranking.row_scores(survivors, levels, AS_OF)
-
-
 def experience_title_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _row_scores(spark, sf_dir).select("jd_id", "candidate_id", "experience", "seniority")
+    survivors, features = _pool(spark, sf_dir)
+    return ranking.profile_scores(survivors, features, AS_OF).drop("behavior")
 
 
 def skill_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _row_scores(spark, sf_dir).select("jd_id", "candidate_id", "skill")
+    survivors, features = _pool(spark, sf_dir)
+    pairs = pool.pool_pairs(survivors).drop("relaxed")
+    return ranking.pool_scores(survivors, jobs.with_weight_levels(features), pairs)
 
 
 def behavioral_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,9 +181,9 @@ def first_relevant_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reasoning_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The explanation of every pooled pair, with a rank taken from the candidate's number."""
     survivors, features = _pool(spark, sf_dir)
-    levels = jobs.with_weight_levels(features).select("jd_id", "exp_min", "exp_max", "levels")
     number = F.substring("candidate_id", 6, 20).cast("bigint")
-    ranked = ranking.row_scores(survivors, levels, AS_OF).select(
+    rows = ranking.profile_scores(survivors, features, AS_OF)
+    ranked = ranking.pool_scores(survivors, jobs.with_weight_levels(features), rows).select(
         "jd_id", "candidate_id", "skill", "behavior", (number % 100 + 1).cast("int").alias("rank")
     )
     return ranking.explain_pairs(survivors, ranked, features).select("jd_id", "candidate_id", "reasoning")

@@ -37,7 +37,7 @@ def strongest_skills(skills: Column, skill_weights: Column) -> Column:
             skill_weights, lambda e: F.contains(s["low"], e["term"]) | F.contains(e["term"], s["low"])
         ),
     )
-    best = F.slice(F.array_sort(matching), 1, 3)
+    best = F.slice(F.sort_array(matching), 1, 3)
     return F.coalesce(F.transform(best, lambda s: s["name"]), F.array().cast("array<string>"))
 
 

@@ -45,7 +45,7 @@ def experience_range(low_text: Column) -> Column:
 def locations(low_text: Column) -> Column:
     found = F.filter(strings(vocab.CITIES), lambda city: F.contains(low_text, city))
     metro = F.arrays_overlap(found, strings(vocab.METRO_TRIGGERS))
-    return F.array_sort(F.when(metro, F.array_union(found, strings(vocab.METRO_AREA))).otherwise(found))
+    return F.sort_array(F.when(metro, F.array_union(found, strings(vocab.METRO_AREA))).otherwise(found))
 
 
 def _vocabulary() -> Column:
@@ -73,13 +73,14 @@ def plain_words(low_text: Column) -> Column:
 
 
 def occurrences(low_text: Column, words: Column) -> Column:
-    """Non-overlapping substring occurrences of every word in the whole text."""
+    """Non-overlapping substring occurrences of every word in the whole text.
+
+    The words hold only letters, digits and hyphens, so each is its own pattern; literal patterns are searched
+    with skips, which matters because a long text is searched once per distinct word.
+    """
     return F.transform(
         words,
-        lambda w: F.struct(
-            w.alias("term"),
-            ((F.length(low_text) - F.length(F.replace(low_text, w, F.lit("")))) / F.length(w)).alias("n"),
-        ),
+        lambda w: F.struct(w.alias("term"), F.regexp_count(low_text, w).cast("double").alias("n")),
     )
 
 
@@ -104,7 +105,7 @@ def by_weight(entries: Column) -> Column:
         entries, lambda e, i: F.struct((-e["weight"]).alias("k"), i.alias("i"), e["term"].alias("term"), e["weight"].alias("weight"))
     )
     return F.transform(
-        F.array_sort(keyed), lambda e: F.struct(e["term"].alias("term"), e["weight"].alias("weight"))
+        F.sort_array(keyed), lambda e: F.struct(e["term"].alias("term"), e["weight"].alias("weight"))
     ).cast(TERM)
 
 
@@ -120,7 +121,7 @@ def combined_weights(skill_weights: Column) -> Column:
 
 def weight_levels(terms: Column) -> Column:
     """Group terms by weight, heaviest first (the shape ``best_weight`` reads)."""
-    weights = F.reverse(F.array_sort(F.array_distinct(F.transform(terms, lambda e: e["weight"]))))
+    weights = F.reverse(F.sort_array(F.array_distinct(F.transform(terms, lambda e: e["weight"]))))
 
     def level(weight: Column) -> Column:
         members = F.transform(F.filter(terms, lambda e: e["weight"] == weight), lambda e: e["term"])

@@ -1,4 +1,4 @@
-"""Equi-joins against a smaller table: broadcast behind a counted bound, salted shuffle join beyond it."""
+"""Equi-joins against a smaller table: broadcast behind a counted bound, skew-split shuffle join beyond it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterank.staging import stage
+
 MAX_BROADCAST_ROWS = 1_000_000
+HOT_ROWS = 1_000_000
+SALTS = 32
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
@@ -22,17 +26,30 @@ def join_lookup(
     how: str = "inner",
     spread_by: str,
     bounded_by: DataFrame | None = None,
+    heat: str | None = None,
     max_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = 32,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` (``inner``, ``left``, ``left_semi`` or ``left_anti``).
 
-    A hot key (a word every text holds) would land in one task of a plain shuffle join. Past the broadcast
-    bound the lookup is therefore repeated per salt and the facts are spread over the salts by ``spread_by``.
-    ``bounded_by`` names a table with at least as many rows that is cheaper to count (a written one).
+    ``bounded_by`` names a table with at least as many rows as ``lookup`` that is cheaper to count (a written
+    one). Past the broadcast bound both sides are shuffled. There a hot key (a word every text holds) would land
+    in one task, so keys with more than ``hot_rows`` facts are split over salts by ``spread_by`` and only their
+    lookup rows are repeated. ``heat`` is a lookup column that already holds the number of facts per key;
+    without it the facts are counted. Hot keys are few by definition: at most facts / hot_rows.
     """
     if at_most(lookup if bounded_by is None else bounded_by, max_rows):
         return facts.join(F.broadcast(lookup), list(on), how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    keys = list(on)
+    if heat is None:
+        busy = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+    else:
+        busy = lookup.filter(F.col(heat) > hot_rows)
+    hot = stage(busy.select(*keys).distinct().withColumn("_hot", F.lit(True)), "hot-keys")
+    if hot.isEmpty() or not at_most(hot, max_rows):
+        return facts.join(lookup, keys, how)
+    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    salted = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_hot")
+    repeated = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterank.functions import explain, scores
-from rosterank.functions.basics import text
+from rosterank.functions.basics import lowered, text
 from rosterank.functions.texts import profile_text
 from rosterank.operators.dense import dense_score
+from rosterank.operators.lookup import join_lookup
 from rosterank.operators.tfidf import MAX_TERMS, tfidf_similarity
 from rosterank.operators.topk import top_per_group
 from rosterank.plans.jobs import extract_jd_features, with_weight_levels
@@ -26,11 +28,13 @@ def behavior_columns(signals: Column, as_of: dt.date) -> dict[str, Column]:
     return scores.behavior_points(signals, as_of)
 
 
-def row_scores(profiles: DataFrame, features: DataFrame, as_of: dt.date, *extra: str) -> DataFrame:
-    """(jd_id, candidate_id, extra..., experience, seniority, behavior, skill) per profile and description.
+def profile_scores(
+    profiles: DataFrame, features: DataFrame, as_of: dt.date, *, carry: Sequence[str] = (), about: Sequence[str] = ()
+) -> DataFrame:
+    """(jd_id, candidate_id, experience, seniority, behavior) per profile and description, row by row.
 
-    ``profiles`` carries ``jd_ids``; ``features`` comes from ``with_weight_levels`` and has at most
-    MAX_DESCRIPTIONS rows, which bounds the broadcast.
+    ``carry`` and ``about`` name further columns to keep of the profiles and of the features. ``profiles`` has
+    ``jd_ids``; ``features`` has at most MAX_DESCRIPTIONS rows, which bounds the broadcast.
     """
     points = behavior_columns(F.col("signals"), as_of)
     rows = profiles.select(
@@ -38,20 +42,75 @@ def row_scores(profiles: DataFrame, features: DataFrame, as_of: dt.date, *extra:
         F.explode("jd_ids").alias("jd_id"),
         F.col("profile.years_of_experience").alias("yoe"),
         F.col("profile.current_title").alias("title"),
-        "skills",
         *[c.alias(f"points_{name}") for name, c in points.items()],
-        *extra,
+        *carry,
     )
-    totals = rows.join(F.broadcast(features), "jd_id").select(
+    return rows.join(F.broadcast(features.select("jd_id", "exp_min", "exp_max", *about)), "jd_id").select(
         "jd_id",
         "candidate_id",
-        *extra,
+        *carry,
+        *about,
         scores.experience_fit(F.col("yoe"), F.col("exp_min"), F.col("exp_max")).alias("experience"),
         scores.seniority(F.col("title")).alias("seniority"),
         scores.behavior_multiplier({name: F.col(f"points_{name}") for name in points}).alias("behavior"),
-        scores.skill_total(F.col("skills"), F.col("levels")).alias("skill_total"),
     )
-    return totals.withColumn("skill", scores.skill_score(F.col("skill_total"))).drop("skill_total")
+
+
+def row_scores(
+    profiles: DataFrame, features: DataFrame, as_of: dt.date, *, carry: Sequence[str] = (), about: Sequence[str] = ()
+) -> DataFrame:
+    """``profile_scores`` plus ``skill``, all inside the row: the form a stream needs.
+
+    ``features`` comes from ``with_weight_levels``. Every skill is matched against every term; for a whole pool
+    ``pool_scores`` matches each distinct name once.
+    """
+    rows = profile_scores(profiles, features, as_of, carry=("skills", *carry), about=("levels", *about))
+    totals = rows.withColumn("total", scores.skill_total(F.col("skills"), F.col("levels"))).drop("skills", "levels")
+    return totals.withColumn("skill", scores.skill_score(F.col("total"))).drop("total")
+
+
+def name_weights(pool: DataFrame, features: DataFrame) -> DataFrame:
+    """Written table (jd_id, name, weight): the best term weight of every distinct skill name in the pool."""
+    names = pool.select(
+        F.explode("jd_ids").alias("jd_id"), F.transform("skills", lambda s: lowered(s["name"])).alias("names")
+    )
+    distinct = names.select("jd_id", F.explode("names").alias("name")).distinct()
+    weighed = distinct.join(F.broadcast(features.select("jd_id", "levels")), "jd_id").select(
+        "jd_id", "name", scores.best_weight(F.col("name"), F.col("levels")).alias("weight")
+    )
+    return stage(weighed.filter(F.col("weight").isNotNull()), "name-weights")
+
+
+def skill_scores(pool: DataFrame, features: DataFrame) -> DataFrame:
+    """(jd_id, candidate_id, skill) of the profiles with a matching skill.
+
+    The shares are folded in the order of the profile's own skill list, so the sum does not depend on the plan.
+    """
+    listed = pool.select("candidate_id", F.explode("jd_ids").alias("jd_id"), "skills")
+    skills = listed.select("jd_id", "candidate_id", F.posexplode("skills").alias("at", "s")).select(
+        "jd_id",
+        "candidate_id",
+        "at",
+        lowered(F.col("s.name")).alias("name"),
+        scores.proficiency_multiplier(F.col("s.proficiency")).alias("proficiency"),
+        scores.duration_trust(F.col("s.duration_months")).alias("trust"),
+    )
+    matched = join_lookup(skills, name_weights(pool, features), ["jd_id", "name"], spread_by="candidate_id")
+    share = F.col("weight") * F.col("proficiency") * F.col("trust")
+    totals = matched.groupBy("jd_id", "candidate_id").agg(
+        F.sort_array(F.collect_list(F.struct("at", share.alias("share")))).alias("shares")
+    )
+    total = F.aggregate("shares", F.lit(0.0), lambda acc, x: acc + x["share"])
+    return totals.select("jd_id", "candidate_id", total.alias("total")).select(
+        "jd_id", "candidate_id", scores.skill_score(F.col("total")).alias("skill")
+    )
+
+
+def pool_scores(pool: DataFrame, features: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add ``skill`` to the slim ``rows`` (jd_id, candidate_id, ...) of a pool; 0 without a matching skill."""
+    return rows.join(skill_scores(pool, features), ["jd_id", "candidate_id"], "left").withColumn(
+        "skill", F.coalesce("skill", F.lit(0.0))
+    )
 
 
 def score_pool(
@@ -65,17 +124,11 @@ def score_pool(
     """Scored pairs (jd_id, candidate_id, experience, seniority, behavior, skill, semantic, score).
 
     ``semantic="tfidf"`` fits TF-IDF on each description's pool. ``semantic="dense"`` reads an ``embedding``
-    column of the pool and of the features and needs no shuffle at all.
+    column of the pool and of the features; there only slim score rows are shuffled.
     """
-    slim = features.select("jd_id", "exp_min", "exp_max", "levels")
     if semantic == "dense":
-        vectors = features.select("jd_id", F.col("embedding").alias("jd_embedding"))
-        scored = (
-            row_scores(pool, slim, as_of, "embedding")
-            .join(F.broadcast(vectors), "jd_id")
-            .withColumn("semantic", dense_score(F.col("embedding"), F.col("jd_embedding")))
-            .drop("embedding", "jd_embedding")
-        )
+        vectors = features.withColumnRenamed("embedding", "jd_embedding")
+        rows = dense_semantic(profile_scores(pool, vectors, as_of, carry=("embedding",), about=("jd_embedding",)))
     elif semantic == "tfidf":
         texts = pool.select(
             F.col("candidate_id").alias("text_id"),
@@ -83,17 +136,23 @@ def score_pool(
             profile_text(F.col("profile"), F.col("career_history"), F.col("skills")).alias("text"),
         )
         similar = tfidf_similarity(texts, features.select("jd_id", "text"), max_terms)
-        scored = row_scores(pool, slim, as_of).join(
+        rows = profile_scores(pool, features, as_of).join(
             similar.select("jd_id", F.col("text_id").alias("candidate_id"), "semantic"), ["jd_id", "candidate_id"]
         )
     else:
         raise ValueError(f"unknown semantic mode {semantic!r}")
-    return scored.withColumn(
-        "score",
-        scores.composite(
-            F.col("semantic"), F.col("skill"), F.col("behavior"), F.col("experience"), F.col("seniority")
-        ),
-    )
+    return with_composite(pool_scores(pool, features, rows))
+
+
+def dense_semantic(rows: DataFrame) -> DataFrame:
+    """Replace the vectors ``embedding`` and ``jd_embedding`` by their ``semantic`` score."""
+    score = dense_score(F.col("embedding"), F.col("jd_embedding"))
+    return rows.withColumn("semantic", score).drop("embedding", "jd_embedding")
+
+
+def with_composite(rows: DataFrame) -> DataFrame:
+    parts = [F.col(c) for c in ("semantic", "skill", "behavior", "experience", "seniority")]
+    return rows.withColumn("score", scores.composite(*parts))
 
 
 def select_top(scored: DataFrame, top_n: int = SELECTED_ROWS) -> DataFrame:

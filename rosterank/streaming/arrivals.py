@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from rosterank.functions import scores
-from rosterank.operators.dense import dense_score
 from rosterank.plans.pool import gate_profiles
-from rosterank.plans.ranking import SELECTED_ROWS, row_scores, select_top
+from rosterank.plans.ranking import SELECTED_ROWS, dense_semantic, row_scores, select_top, with_composite
 from rosterank.schemas import candidate_schema
 
 
@@ -31,8 +29,8 @@ def score_arrivals(arrivals: DataFrame, features: DataFrame, as_of: dt.date) ->
 
     ``features`` comes from ``with_weight_levels`` and is static.
     """
-    passing = gate_profiles(arrivals, features.select("jd_id", "exp_min", "exp_max", "locations"), as_of)
-    return row_scores(passing, features.select("jd_id", "exp_min", "exp_max", "levels"), as_of)
+    passing = gate_profiles(arrivals, features, as_of)
+    return row_scores(passing, features, as_of)
 
 
 def append_scores(scored: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -60,24 +58,13 @@ def refresh_ranking(
     ``store/batch=<id>``; a repeated batch overwrites its version, so the result is the same after a restart.
     The merge is exact: a row outside a batch's best ``top_n`` cannot be in the overall best.
     """
-    gates = features.select("jd_id", "exp_min", "exp_max", "locations")
-    slim = features.select("jd_id", "exp_min", "exp_max", "levels")
-    vectors = features.select("jd_id", F.col("embedding").alias("jd_embedding"))
+    vectors = features.withColumnRenamed("embedding", "jd_embedding")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        scored = (
-            row_scores(gate_profiles(batch, gates, as_of), slim, as_of, "embedding")
-            .join(F.broadcast(vectors), "jd_id")
-            .withColumn("semantic", dense_score(F.col("embedding"), F.col("jd_embedding")))
-            .drop("embedding", "jd_embedding")
-        )
-        scored = scored.withColumn(
-            "score",
-            scores.composite(
-                F.col("semantic"), F.col("skill"), F.col("behavior"), F.col("experience"), F.col("seniority")
-            ),
-        )
+        passing = gate_profiles(batch, features, as_of)
+        rows = row_scores(passing, vectors, as_of, carry=("embedding",), about=("jd_embedding",))
+        scored = with_composite(dense_semantic(rows))
         best = select_top(scored, top_n).drop("rank")
         if batch_id > 0:
             best = best.unionByName(spark.read.schema(best.schema).parquet(f"{store}/batch={batch_id - 1}"))
