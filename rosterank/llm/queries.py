@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterank.llm import decontaminate, packing, warc
+from rosterank.llm import decontaminate, packing, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_secrets": secrets.op4_secrets,
     "op9_packing": packing.op9_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op2_decontaminate": decontaminate.SQL}
+ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op2_decontaminate": decontaminate.SQL, "op4_secrets": secrets.SQL}
