@@ -15,6 +15,7 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -31,27 +32,54 @@ from rosterank.llm.common import columns, stage
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long, ids array<int>"
 )
-#: Entries of a task's word cache, and the longest cached word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: Entries of a task's word cache; a single group of texts may exceed it for its own time.
+CACHE_WORDS = 600_000
+GROUP_CHARS = 1_500_000
+#: How the tokenizer cuts lower-cased text into words (fixed value of its file), and the characters with which this
+#: wording of it could mean something else: from other scripts, numbers that aren't digits, separators, special tokens.
+WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+UNSAFE = re.compile("[\u0250-\U0010ffff\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|<\\|")
 
 
 class WordCache(dict):
-    """Ids of a white-space-free chunk as little-endian bytes. The tokenizer drops white space, so chunks are independent."""
+    """Ids of words as little-endian bytes.
+
+    The tokenizer drops white space and never merges across its words, so words are independent: texts are cut here as it
+    cuts them, and only words not met before reach it. A text in which its rules and ours could differ is given to it whole.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
         self.tokenizer = tokenizer
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
-def token_bytes(cache: WordCache, text: str) -> bytes:
-    return b"".join(map(cache.__getitem__, text.replace("\n", " ").split(" ")))
+    def learn(self, words: set[str]) -> None:
+        """Tokenise the words not met before, many in one call."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = list(words)
+        for at in range(0, len(new), 4000):
+            part = new[at : at + 4000]
+            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(coded.ids, "<u4").tobytes()
+            ends = (np.searchsorted(np.asarray(coded.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
+            self.update(zip(part, (ids[i:j] for i, j in zip(ends, ends[1:], strict=False)), strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; texts are taken in groups, so that memory does not follow the batch."""
+        group: list = []
+        size = 0
+        for k, text in enumerate(texts):
+            group.append(text if UNSAFE.search(text) else WORDS.findall(text.lower()))
+            size += len(text)
+            if size >= GROUP_CHARS or k + 1 == len(texts):
+                self.learn(set().union(*(x for x in group if not isinstance(x, str))))
+                for x in group:
+                    if isinstance(x, str):
+                        yield np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+                    else:
+                        yield b"".join(map(self.__getitem__, x))
+                group, size = [], 0
 
 
 def tokenise(
@@ -66,8 +94,9 @@ def tokenise(
         width = 4 * capacity
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = token_bytes(cache, text.as_py() or "") + end
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            for doc_id, ids_of in zip(batch.column(0).to_pylist(), cache.encode(texts), strict=True):
+                raw = ids_of + end
                 for k, at in enumerate(range(0, len(raw), width)):
                     part = raw[at : at + width]
                     n = len(part) // 4

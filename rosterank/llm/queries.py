@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterank.llm import decontaminate, packing, secrets, warc
+from rosterank.llm import decontaminate, langid, packing, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_secrets": secrets.op4_secrets,
+    "op6_langid": langid.op6_langid,
     "op9_packing": packing.op9_packing,
 }
 
