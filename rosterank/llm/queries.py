@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterank.llm import decontaminate, langid, packing, secrets, toxicity, warc
+from rosterank.llm import blocks, decontaminate, langid, packing, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -14,7 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_secrets": secrets.op4_secrets,
     "op6_langid": langid.op6_langid,
+    "op8_blocks": blocks.op8_blocks,
     "op9_packing": packing.op9_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op2_decontaminate": decontaminate.SQL, "op4_secrets": secrets.SQL}
+ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op2_decontaminate": decontaminate.SQL, "op4_secrets": secrets.SQL, "op8_blocks": blocks.SQL}
