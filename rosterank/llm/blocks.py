@@ -149,9 +149,9 @@ def window_keys(words: Words, window: int, buckets: int) -> tuple[np.ndarray, np
 
 
 def _suspects(window: int, block: int, anchor_buckets: int, buckets: int):
-    def pack(texts: Texts, back: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    def pack(texts: Texts, back: pa.Table) -> Iterator[tuple[int, bytes]]:
         words = Words(texts)
-        told = [np.frombuffer(d, "<u4") for d in back]
+        told = [np.frombuffer(d, "<u4") for d in back.column("data").to_pylist()]
         known = np.sort(np.concatenate([d[1:].astype(np.uint64) | (np.uint64(d[0]) << np.uint64(32)) for d in told]))
         hit = member(anchor_keys(words, block, anchor_buckets), known)
         seen = np.concatenate([[0], np.cumsum(hit)])

@@ -128,7 +128,7 @@ def send(batches: DataFrame, pack: Callable[[Texts], Iterator[tuple[int, bytes]]
     def both(table: pa.Table, back: pa.Table) -> pa.Table:
         if not len(table) or not len(back):
             return _SENT.empty_table()
-        return rows(table, pack(Texts(table), back.column("data").to_pylist()))
+        return rows(table, pack(Texts(table), back))
 
     return batches.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(both, SENT)
 

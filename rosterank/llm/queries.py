@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterank.llm import blocks, decontaminate, langid, packing, secrets, toxicity, warc
+from rosterank.llm import blocks, decontaminate, jaccard, langid, packing, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_langid": langid.op6_langid,
     "op8_blocks": blocks.op8_blocks,
     "op9_packing": packing.op9_packing,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op2_decontaminate": decontaminate.SQL, "op4_secrets": secrets.SQL, "op8_blocks": blocks.SQL}
+ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op2_decontaminate": decontaminate.SQL, "op4_secrets": secrets.SQL, "op8_blocks": blocks.SQL, "op10_jaccard": jaccard.SQL}
