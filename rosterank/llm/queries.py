@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterank.llm import blocks, decontaminate, jaccard, langid, packing, secrets, toxicity, warc
+from rosterank.llm import blocks, decontaminate, jaccard, langid, packing, secrets, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_secrets": secrets.op4_secrets,
     "op6_langid": langid.op6_langid,
+    "op7_suffixes": suffixes.op7_suffixes,
     "op8_blocks": blocks.op8_blocks,
     "op9_packing": packing.op9_packing,
     "op10_jaccard": jaccard.op10_jaccard,
