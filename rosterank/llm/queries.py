@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterank.llm import blocks, decontaminate, jaccard, langid, packing, secrets, suffixes, toxicity, warc
+from rosterank.llm import blocks, decontaminate, forest, jaccard, langid, packing, secrets, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_secrets": secrets.op4_secrets,
+    "op5_forest": forest.op5_forest,
     "op6_langid": langid.op6_langid,
     "op7_suffixes": suffixes.op7_suffixes,
     "op8_blocks": blocks.op8_blocks,
