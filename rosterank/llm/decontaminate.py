@@ -105,26 +105,49 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str
         yield held
 
 
+def _finders(benchmark: DataFrame, window: int, block_bytes: int):
+    """What gives a task its automata: they are built there, once per task, from the broadcast blocks of items."""
+    context = benchmark.sparkSession.sparkContext
+    blocks = [context.broadcast(b) for b in blocks_of(benchmark, block_bytes)]
+    return lambda: [Finder(b.value, window) for b in blocks]
+
+
+def _found(finders: list[Finder], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    ranges, items = [], set()
+    for finder in finders:
+        some, found = finder.find(words)
+        ranges += some
+        items |= found
+    return ranges, items
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``documents`` in which no window of the benchmark occurs. Nothing is shuffled."""
+    finders = _finders(benchmark, window, block_bytes)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = finders()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([not _found(known, words_of(t.as_py() or ""))[0] for t in texts], pa.bool_()))
+
+    return documents.mapInArrow(choose, documents.schema)
+
+
 def find_benchmark(
     documents: DataFrame, benchmark: DataFrame, *, window: int = 10, block_bytes: int = 16 << 20
 ) -> DataFrame:
     """One row per document: counts, the items found and the hit character ranges (HITS)."""
-    spark = documents.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, block_bytes)]
-    built: dict[int, Finder] = {}
+    finders = _finders(benchmark, window, block_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, block in enumerate(blocks):
-            built.setdefault(k, Finder(block.value, window))
+        known = finders()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                words, ranges, items = words_of(text), [], set()
-                for finder in built.values():
-                    some, found = finder.find(words)
-                    ranges += some
-                    items |= found
+                words = words_of(text)
+                ranges, items = _found(known, words)
                 runs = united(ranges)
                 rows.append(
                     {

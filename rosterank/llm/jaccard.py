@@ -196,19 +196,42 @@ def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80, fragments: int = 16) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per document; a link is 100 * overlap >= percent * union."""
-    spark = documents.sparkSession
     batches, length = ordered_batches(documents)
+    found = labelled(batches, length, size=size, percent=percent, fragments=fragments)
+    ids = found.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = found.join(ids, "label", "left")
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicate(documents: DataFrame, *, size: int = 5, percent: int = 80, fragments: int = 16) -> DataFrame:
+    """The rows of ``documents`` without near duplicates: of each component the first by id, and all with empty sets."""
+    batches, length = ordered_batches(documents, whole_rows=True)
+    found = labelled(batches, length, size=size, percent=percent, fragments=fragments)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "batch", "idx")).alias("first")
+    kept = found.where("label IS NOT NULL").groupBy("label").agg(first).select("first.batch", "first.idx")
+    kept = kept.union(found.where("label IS NULL").select("batch", "idx"))
+    stays = kept.groupBy("batch").agg(F.collect_list("idx").alias("idx"))  # bounded by the batch
+
+    def choose(table: pa.Table, back: pa.Table) -> pa.Table:
+        wanted = np.sort(back.column("idx").combine_chunks().flatten().to_numpy()) if len(back) else np.empty(0, np.int64)
+        return table.take(pa.array(Texts(table).order[wanted])).select(["row", "text"])
+
+    fields = batches.select("row", "text").schema
+    rows = batches.groupBy("batch").cogroup(stays.groupBy("batch")).applyInArrow(choose, fields)
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+
+
+def labelled(batches: DataFrame, length: int, *, size: int, percent: int, fragments: int) -> DataFrame:
+    """(batch, idx, doc_id, n, label): equal labels are components; an empty set has none."""
+    spark = batches.sparkSession
     release(spark)
     sets = stage(batches.groupBy("batch").applyInArrow(_sets(size), SETS), "sets")
     alike = stage(
-        sets.where("n > 0")
-        .groupBy("n", "sig0", "sig1")
-        .agg(F.min(F.struct("batch", "idx")).alias("stands"), F.min("doc_id").alias("first_id")),
+        sets.where("n > 0").groupBy("n", "sig0", "sig1").agg(F.min(F.struct("batch", "idx")).alias("stands")),
         "classes",
     )
-    standing = alike.groupBy(F.col("stands.batch").alias("batch")).agg(
-        F.collect_list("stands.idx").alias("idx"), F.collect_list("n").alias("sizes")
-    )  # a batch is bounded, and so is its list: one element per document at most
+    # a batch is bounded, and so is its list: one element per document at most
+    standing = alike.groupBy(F.col("stands.batch").alias("batch")).agg(F.collect_list("stands.idx").alias("idx"), F.collect_list("n").alias("sizes"))
     standing = stage(standing, "standing")
     buckets = buckets_for(spark, length / 6 * 6, 16 << 20)
     counted = send(batches, _counted(size, buckets), standing)
@@ -262,10 +285,8 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
 
     node = F.shiftleft(F.col("stands.batch").cast("long"), 32) + F.col("stands.idx")
     whole = alike.withColumn("node", node).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = whole.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = whole.join(ids, "label").select("n", "sig0", "sig1", "component_id")
-    found = sets.join(named, ["n", "sig0", "sig1"], "left")
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = whole.select("n", "sig0", "sig1", "label")
+    return stage(sets.join(named, ["n", "sig0", "sig1"], "left").select("batch", "idx", "doc_id", "n", "label"), "labelled")
 
 
 def _below(pivot: int):

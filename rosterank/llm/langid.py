@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,6 +149,21 @@ def identify(documents: DataFrame, model: Model, *, penalty: float = 3.0) -> Dat
     return rows.mapInArrow(predict, MIXTURES)
 
 
+def keep_identified(documents: DataFrame, model: Model, *, penalty: float = 3.0) -> DataFrame:
+    """The rows of ``documents`` whose language can be told; a missing ``lang`` is filled in. Nothing is shuffled."""
+    known = documents.sparkSession.sparkContext.broadcast((model.languages, model.chance))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, model = letter_table(), Model(*known.value)
+        for batch in batches:
+            at, held = batch.schema.get_field_index("text"), batch.schema.get_field_index("lang")
+            found = [model.predict(trigrams(t.as_py() or "", letters), penalty)[0] for t in batch.column(at)]
+            filled = pc.coalesce(batch.column(held), pa.array(found, batch.column(held).type))
+            yield batch.set_column(held, batch.schema.field(held), filled).filter(pa.array([f != UNDETERMINED for f in found]))
+
+    return documents.mapInArrow(choose, documents.schema)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

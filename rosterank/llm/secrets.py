@@ -26,7 +26,7 @@ from re import _constants as op
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterank.llm.common import columns, stage
+from rosterank.llm.common import stage
 
 #: Documents whose keys one posting holds at most, on average.
 BLOCK_DOCS = 4096
@@ -230,13 +230,16 @@ def _worth_searching(rule: Rule) -> str:
     return rule.pattern if rule.group else rule.pattern.removesuffix("+") + "{%d,}" % max(1, rule.least - rule.head)
 
 
-def find_secrets(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """(doc_id, found): ``found`` are the spans of all rules by start, then by the rules' order."""
-    docs = columns(documents, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def find_secrets(documents: DataFrame, rules: Sequence[Rule] = RULES, *, whole_rows: bool = False) -> DataFrame:
+    """(doc_id, found), and ``row``, the whole document, on request: ``found`` are the spans of all rules by start, then by rule."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")] if whole_rows else []
+    kept = ["row"] if whole_rows else []
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row)
     blocks = max(1, docs.count() // BLOCK_DOCS)
     keyed = docs.select(
         "doc_id",
         "text",
+        *kept,
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"),
         F.xxhash64("text", F.col("doc_id").isNull()).alias("hash"),
     ).withColumn("block", F.pmod(F.xxhash64("id", "hash"), F.lit(blocks)))
@@ -245,7 +248,7 @@ def find_secrets(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFra
     scanned = [(n, r) for n, r in enumerate(rules) if r.kind not in indexed]
     empty = F.array().cast(SPANS)
     out = keyed.select(
-        "doc_id", "id", "hash", F.concat(empty, *[spans_of(F.col("text"), r, n) for n, r in scanned]).alias("everywhere")
+        "doc_id", *kept, "id", "hash", F.concat(empty, *[spans_of(F.col("text"), r, n) for n, r in scanned]).alias("everywhere")
     )
     if indexed:
         trigrams = sorted({t for q in indexed.values() for term in q for t in term})
@@ -264,7 +267,27 @@ def find_secrets(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFra
         out = out.join(verified, ["id", "hash"], "left")
     else:
         out = out.withColumn("verified", empty)
-    return out.select("doc_id", F.array_sort(F.concat("everywhere", F.coalesce("verified", empty))).alias("found"))
+    return out.select("doc_id", *kept, F.array_sort(F.concat("everywhere", F.coalesce("verified", empty))).alias("found"))
+
+
+def redact(documents: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``documents`` with every found span replaced by its kind in brackets; ``n_chars`` follows the text."""
+    found = find_secrets(documents, rules, whole_rows=True)
+    text = F.col("row.text")
+
+    def step(acc: Column, span: Column) -> Column:
+        inside = span["start"] < acc["at"]  # overlaps a span before it, whose name stands for both
+        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), span["start"] - acc["at"]))
+        name = F.when(inside, F.lit("")).otherwise(F.concat(F.lit("["), span["kind"], F.lit("]")))
+        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.concat(acc["out"], gap, name).alias("out"))
+
+    whole = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    one = F.transform(F.array(whole), lambda w: F.concat(w["out"], F.substring(text, w["at"] + 1, F.char_length(text))))
+    cleaned = F.when(F.size("found") > 0, F.element_at(one, 1)).otherwise(text).alias("text")
+    rows = found.select("row", cleaned)
+    length = F.when(F.col("row.n_chars").isNotNull(), F.char_length("text").cast("long")) if "n_chars" in documents.columns else None
+    values = {"text": F.col("text"), "n_chars": length}
+    return rows.select(*[values[c].alias(c) if c in values else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
