@@ -17,28 +17,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterank.llm.common import columns, shared_dir, shuffle_partitions
+from rosterank.llm.common import shared_dir, shuffle_partitions
 
 SENT, RETURNED = "bucket int, batch int, data binary", "batch int, data binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("data", pa.binary())])
 _RETURNED = pa.schema([("batch", pa.int32()), ("data", pa.binary())])
 
 
-def ordered_batches(documents: DataFrame, *, batch_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
-    """(batch, doc_id, tie, text) as a written table, and the bytes of all texts.
+def ordered_batches(documents: DataFrame, *, batch_bytes: int = 4 << 20, whole_rows: bool = False) -> tuple[DataFrame, int]:
+    """(batch, doc_id, tie, text) as a written table, and the bytes of all texts; with ``row``, the rest of the document, on request.
 
     The order is by id, rows without one last; rows that share an id (or have none) are ordered by a hash of their text,
     so a null or repeated id that many rows share is dealt to many batches. A null text is empty.
     """
     spark = documents.sparkSession
-    docs = columns(documents, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("row")] if whole_rows else []
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = shuffle_partitions(spark)
-    batches = int(max(4 * buckets, -(-size // batch_bytes)))
+    batches = int(max(2 * buckets, -(-size // batch_bytes)))
     ranged = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(batches, F.col("doc_id").asc_nulls_last(), "tie")
     name = f"batches_{uuid.uuid4().hex}"
     (
-        ranged.select(F.spark_partition_id().alias("batch"), "doc_id", "tie", "text")
+        ranged.select(F.spark_partition_id().alias("batch"), "doc_id", "tie", *docs.columns[1:])
         .write.option("path", shared_dir(spark, "batches"))
         .option("compression", "zstd")
         .bucketBy(buckets, "batch")
@@ -55,6 +56,7 @@ class Texts:
         tie = table.column("tie").to_numpy()
         none = np.array([i is None for i in ids], bool)
         order = np.lexsort((tie, np.array([i or 0 for i in ids], np.int64), none))
+        self.order = order  #: the table's rows in the order of the texts
         self.ids = [ids[i] for i in order]
         # 64-bit offsets: the texts of a batch may exceed 2 GB
         texts = table.column("text").cast(pa.large_string()).take(pa.array(order)).combine_chunks()
