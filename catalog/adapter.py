@@ -9,14 +9,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalog import phrases
 from rosterank.functions.basics import literal
 
 AS_OF = dt.date(2024, 1, 31)
-USERS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +89,9 @@ def candidates(spark: SparkSession, sf_dir: str, *, summaries: bool = False, emb
         .when(k % 79 == 0, F.lit("2024-03-01"))
         .when(k % 71 != 0, F.date_format(F.date_sub(F.lit(AS_OF), (p % 220).cast("int")), "yyyy-MM-dd"))
     )
-    rows = orders.join(signals_by_user(spark, sf_dir), c % USERS == F.col("user_id"), "left")
+    # Order keys are dealt over all users and an eighth more numbers: every user meets orders, some orders meet no user.
+    numbers = table(spark, sf_dir, "events").agg((F.max("user_id") + 1 + F.floor((F.max("user_id") + 1) / 8))).scalar()
+    rows = orders.join(signals_by_user(spark, sf_dir), k % numbers == F.col("user_id"), "left")
     summary = F.lit(None).cast("string")
     if summaries:
         texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_summary"))
@@ -194,3 +195,31 @@ def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("score"),
         F.lit("text").alias("reasoning"),
     )
+
+
+def ranking_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 100 consecutive orders as the lines of one ranking file; the file's number names its fault.
+
+    1 a blank first line, 2 another header, 3 no last row, 4 rows of blank cells and one of a lone comma, 5 a byte that is
+    not UTF-8; 1, 5 and 6 a name that is not .csv; others have none.
+    """
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.floor(k / 100).alias("file"), (k % 100).alias("at"))
+    whole = Window.partitionBy("file")  # a file has at most 100 rows
+    rows = rows.withColumn("low", F.min("at").over(whole)).withColumn("high", F.max("at").over(whole))
+    fault, at = F.col("file") % 9, F.col("at")
+    header = F.when(fault == 2, "candidate_id,score,rank,reasoning").otherwise("candidate_id,rank,score,reasoning")
+    place = F.format_string("%07d", F.col("file") * 100 + at)
+    body = F.concat(F.lit("CAND_"), place, F.lit(","), (at + 1).cast("string"), F.lit(",0.5,text"))
+    bad = F.concat(body, F.expr("CAST(X'FF' AS STRING)"))
+    line = lambda i, text: F.struct((at * 10 + i).alias("place"), text.alias("line"))
+    first, last = at == F.col("low"), at == F.col("high")
+    made = F.array(
+        F.when(first & (fault == 1), line(0, F.lit(""))),
+        F.when(first, line(1, header)),
+        F.when(~(last & (fault == 3)), line(2, F.when(first & (fault == 5), bad).otherwise(body))),
+        F.when(first & (fault == 4), line(3, F.lit("  "))),
+        F.when(first & (fault == 4), line(4, F.lit(" ,,\t,"))),
+        F.when(first & (fault == 4), line(5, F.lit('","'))),
+    )
+    return rows.select("file", fault.alias("fault"), F.explode(F.array_compact(made)).alias("l")).select("file", "fault", "l.place", "l.line")

@@ -51,10 +51,11 @@ ev AS (
     CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS BIGINT) AS apps,
     CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS saves
   FROM events GROUP BY user_id),
+numbers AS (SELECT max(user_id) + 1 + (max(user_id) + 1) // 8 AS m FROM events),
 base AS (
   SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS p,
     CAST(o_orderdate AS DATE) AS d, o_orderstatus, o_orderpriority, rrr, apps, saves
-  FROM orders LEFT JOIN ev ON o_custkey % 200 = user_id),
+  FROM orders CROSS JOIN numbers LEFT JOIN ev ON o_orderkey % m = user_id),
 cand AS (
   SELECT k, printf('CAND_%07d', k) AS candidate_id,
     CASE WHEN k % 59 <> 0 THEN CAST(p % 131 AS DOUBLE) / 1e1 END AS yoe,
@@ -472,7 +473,7 @@ def all_oracles() -> dict[str, str]:
         f"CAST(count(*) FILTER (WHERE reason = '{r}') AS BIGINT) AS dropped_{r}"
         for r in ("location", "experience", "title", "honeypot")
     )
-    return {
+    oracles = {
         "gate_drop_counts": sql(
             f"""SELECT jd_id, CAST(count(*) AS BIGINT) AS processed, {counts},
   CAST(count(*) FILTER (WHERE reason IS NULL) AS BIGINT) AS surviving
@@ -569,3 +570,20 @@ FROM selected GROUP BY jd_id""",
         ),
         "output_violations": sql("SELECT * FROM found", RANKING_ROWS),
     }
+    oracles["json_roundtrip"] = sql(
+        """SELECT format, candidate_id, yoe, title, CAST(CASE WHEN c % 17 = 0 THEN -1 ELSE c % 9 + 1 END AS INTEGER) AS n_skills,
+  notice FROM cand JOIN base USING (k) CROSS JOIN (VALUES ('lines'), ('gzip')) f(format)""",
+        BASE,
+    )
+    oracles["file_violations"] = """
+WITH f AS (SELECT o_orderkey // 100 AS file, count(*) AS n FROM orders GROUP BY 1),
+g AS (SELECT *, file % 9 AS fault, n + CASE file % 9 WHEN 1 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN 1 ELSE 0 END AS found FROM f)
+SELECT file, 'header' AS rule, CAST(NULL AS VARCHAR) AS detail FROM g WHERE fault IN (1, 2)
+UNION ALL SELECT file, 'row_count', CAST(found AS VARCHAR) FROM g WHERE fault <> 5 AND found <> 100
+UNION ALL SELECT file, 'not_utf8', NULL FROM g WHERE fault = 5
+UNION ALL SELECT file, 'file_name', NULL FROM g WHERE fault IN (1, 5, 6)"""
+    oracles["csv_roundtrip"] = (
+        "SELECT jd_id, count(*) AS rows, CAST(4 AS INTEGER) AS cells, CAST(0 AS BIGINT) AS violations "
+        f"FROM ({oracles['dense_ranking']}) GROUP BY jd_id"
+    )
+    return oracles

@@ -232,10 +232,26 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense ranking written as one CSV per description, read back and checked: no violation is expected."""
     out = _fresh(spark, "ranking")
     write_ranking_csv(dense_ranking(spark, sf_dir), out, by_description=True)
-    rows = read_ranking_rows(spark, f"{out}/*/*.csv")
-    return rows.groupBy(F.regexp_extract("file", "jd_id=([^/]*)/", 1).alias("jd_id")).agg(
-        F.count_if(F.col("row_num") > 1).alias("rows"), F.max("n_cells").alias("cells")
-    )
+    jd = F.regexp_extract("file", "jd_id=([^/]*)/", 1).alias("jd_id")
+    rows = read_ranking_rows(spark, f"{out}/*/*.csv").groupBy(jd)
+    faults = quality.check_files(spark, f"{out}/*/*.csv").groupBy(jd).agg(F.count(F.lit(1)).alias("faults"))
+    counted = rows.agg(F.count_if(F.col("row_num") > 1).alias("rows"), F.max("n_cells").alias("cells"))
+    return counted.join(faults, "jd_id", "left").select("jd_id", "rows", "cells", F.coalesce("faults", F.lit(0)).alias("violations"))
+
+
+def file_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files derived from the orders, with faults of whole files, written and checked: name, header, encoding, rows."""
+    lines = adapter.ranking_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "place")
+    named, unnamed = _fresh(spark, "files"), _fresh(spark, "files")
+    bare = {"quote": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "sep": "\u0001"}
+    kept = ~F.col("fault").isin(1, 5, 6)  # a CSV writer leaves no blank line and no broken byte: these are text files
+    lines.filter(kept).select("file", "line").write.partitionBy("file").options(**bare).csv(named)
+    lines.filter(~kept).select("file", "line").write.partitionBy("file").text(unnamed)
+    found = quality.check_files(spark, f"{named}/*/*.csv").unionByName(quality.check_files(spark, f"{unnamed}/*/*.txt"))
+    number = F.regexp_extract("file", "file=([0-9]+)/", 1).cast("bigint")
+    whole = found.filter(F.col("rule").isin("file_name", "not_utf8", "header", "row_count"))
+    detail = F.when(F.col("rule") == "row_count", F.col("detail"))
+    return whole.select(number.alias("file"), "rule", detail.alias("detail"))
 
 
 def stream_stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,6 +305,7 @@ def all_queries() -> dict[str, Query]:
         "output_violations": output_violations,
         "json_roundtrip": json_roundtrip,
         "csv_roundtrip": csv_roundtrip,
+        "file_violations": file_violations,
         "stream_stage1": stream_stage1,
         "stream_ranking": stream_ranking,
     }

@@ -1,8 +1,12 @@
 """Candidate ranking on Spark: gates, scores, text similarity, top-k and explanations as DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from rosterank.plans.jobs import extract_jd_features
 from rosterank.plans.pool import build_pool, drop_counts, honeypot_sample
-from rosterank.plans.quality import violations
+from rosterank.plans.quality import check_files, violations
 from rosterank.plans.ranking import (
     explain_ranked,
     rank_candidates,
@@ -15,6 +19,7 @@ from rosterank.sources.ranking_csv import read_ranking_rows, write_ranking_csv
 
 __all__ = [
     "build_pool",
+    "check_files",
     "drop_counts",
     "explain_ranked",
     "extract_jd_features",
@@ -28,3 +33,6 @@ __all__ = [
     "violations",
     "write_ranking_csv",
 ]
+
+# Functions of the library travel to the workers by value, so executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -134,6 +134,7 @@ def check_files(spark: SparkSession, path: str, expected_rows: int = EXPECTED_RO
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     broken = lines.filter(~F.is_valid_utf8("value")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     encoding = _report(broken, "not_utf8", F.concat(F.col("n").cast("string"), F.lit(" lines")))
-    found = violations(read_ranking_rows(spark, path), expected_rows)
+    # every rule reads the rows: they are parsed once and written
+    found = violations(stage(read_ranking_rows(spark, path), "ranking-cells"), expected_rows)
     unreadable = broken.select("file")
     return named.unionByName(empty).unionByName(encoding).unionByName(found.join(unreadable, "file", "left_anti"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+import csv
+import io
+from collections.abc import Iterator
 
-from rosterank.schemas import RANKING_COLUMNS
-from rosterank.staging import stage
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
-ROW_IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
-CELL_BREAK = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a comma outside quotes
+from rosterank.schemas import RANKING_COLUMNS
 
 
 def write_ranking_csv(ranked: DataFrame, path: str, *, by_description: bool = False) -> None:
@@ -25,51 +25,31 @@ def write_ranking_csv(ranked: DataFrame, path: str, *, by_description: bool = Fa
     writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def number_rows(rows: DataFrame) -> DataFrame:
-    """Add ``row_num`` (from 1, in file order) within ``file`` without gathering a file in one task.
-
-    ``rows`` carries ``_row`` from monotonically_increasing_id, taken where the file was scanned.
-    """
-    placed = rows.withColumn("_part", F.shiftright("_row", 33)).withColumn(
-        "_at", F.col("_row").bitwiseAND(ROW_IN_PARTITION)
-    )
-    numbered = placed.withColumn("_in_part", F.row_number().over(Window.partitionBy("file", "_part").orderBy("_at")))
-    before = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("file", "_part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("file", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    )
-    return (
-        numbered.join(offsets, ["file", "_part"])
-        .withColumn("row_num", F.col("_before") + F.col("_in_part"))
-        .drop("_row", "_part", "_at", "_in_part", "_before")
-    )
+def _parsed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole files. A ranking file is short, so a file is one value; one that is not UTF-8 gives no rows."""
+    csv.field_size_limit(1 << 30)
+    names = ["file", "row_num", "n_cells", *RANKING_COLUMNS]
+    kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.string()] * len(RANKING_COLUMNS)]
+    for part in parts:
+        for path, content in zip(part.column("path").to_pylist(), part.column("content"), strict=True):
+            try:
+                text = content.as_py().decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            rows: list[tuple] = []
+            for cells in csv.reader(io.StringIO(text, newline="")):
+                if not rows or any(cell.strip() for cell in cells):
+                    padded = [*cells, *[None] * len(RANKING_COLUMNS)][: len(RANKING_COLUMNS)]
+                    rows.append((path, len(rows) + 1, len(cells), *padded))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def read_ranking_rows(spark: SparkSession, path: str) -> DataFrame:
-    """file, row_num, n_cells and the four cells as text; rows with blank cells only are left out.
+    """file, row_num, n_cells and the first four cells as text; nothing is lost but rows of blank cells.
 
-    The first row of a file is its header whatever it holds. Quoted line breaks are allowed.
+    The first physical row of a file is its header whatever it holds, also if it is blank. Quoted line breaks are allowed.
     """
     cells = ", ".join(f"`{c}` STRING" for c in RANKING_COLUMNS)
-    raw = (
-        spark.read.schema(f"{cells}, _raw STRING")
-        .option("header", False)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_raw")
-        .csv(path)
-        .select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_row"))
-    )
-    written = stage(raw, "ranking-cells")
-    first = written.groupBy("file").agg(F.min("_row").alias("_first"))
-    content = F.coalesce(F.col("_raw"), F.concat_ws("", *RANKING_COLUMNS))
-    has_text = F.regexp_replace(content, r'[\s,"]', "") != ""
-    kept = written.join(first, "file").filter((F.col("_row") == F.col("_first")) | has_text).drop("_first")
-    shaped = kept.withColumn(
-        "n_cells",
-        F.when(F.col("_raw").isNull(), F.lit(len(RANKING_COLUMNS))).otherwise(F.size(F.split("_raw", CELL_BREAK, -1))),
-    )
-    return number_rows(shaped).select("file", "row_num", "n_cells", *RANKING_COLUMNS)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(_parsed, f"file STRING, row_num BIGINT, n_cells INT, {cells}")
