@@ -130,7 +130,7 @@ def _save(folder: str, records: list[bytes], level: int, dictionary_bytes: int,
     known = zstandard.ZstdCompressionDict(trained) if trained else None
     press = zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=True, write_checksum=True)
     name = f"{uuid.uuid4().hex}.warc.zst"
-    with fs.open_output_stream(f"{root}/{name}") as out:
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
         packed = zstandard.ZstdCompressor(level=19).compress(trained)
         out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
         size = 8 + len(packed)
@@ -203,7 +203,7 @@ def read_record(path: str, offset: int) -> bytes:
 def _frames(path: str) -> Iterator[tuple[int, bytes]]:
     """Offset and bytes of every record; reads the archive in pieces."""
     fs, name = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(name) as source:
+    with fs.open_input_stream(name, compression=None) as source:
         trained, at = load_dictionary(source)
         known = zstandard.ZstdCompressionDict(trained) if trained else None
         press, rest = zstandard.ZstdDecompressor(dict_data=known), b""
