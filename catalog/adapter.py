@@ -65,11 +65,13 @@ def _career(k: Column, c: Column, p: Column, day: Column) -> Column:
 
 def _skills(k: Column, c: Column, p: Column) -> Column:
     def skill(i: Column) -> Column:
-        level = pick(phrases.LEVELS, k + i)
+        idle = k % 101 == 0  # expert on everything, used never
+        level = F.when(idle, "expert").otherwise(pick(phrases.LEVELS, k + i))
         return F.struct(
             pick(phrases.SKILLS, k + i * 5 + c).alias("name"),
             level.alias("proficiency"),
-            F.when(k % 7 == 0, F.when((k + i) % 2 == 0, F.lit(0).cast("bigint")))
+            F.when(idle, F.lit(0).cast("bigint"))
+            .when(k % 7 == 0, F.when((k + i) % 2 == 0, F.lit(0).cast("bigint")))
             .otherwise((p + i * 11) % 60)
             .alias("duration_months"),
             ((k * 13 + i * 101) % 620).alias("endorsements"),

@@ -84,8 +84,8 @@ career AS (
     CASE WHEN (k + i) % 41 <> 0 THEN (p + i * 17) % 30 + 6 END AS months
   FROM (SELECT *, unnest(range(0, c % 5 + 1)) AS i FROM base WHERE c % 13 NOT IN (0, 1))),
 skills AS (
-  SELECT k, i, {pick(phrases.SKILLS, "k + i * 5 + c")} AS name, {pick(phrases.LEVELS, "k + i")} AS level,
-    CASE WHEN k % 7 = 0 THEN CASE WHEN (k + i) % 2 = 0 THEN 0 END ELSE (p + i * 11) % 60 END AS months,
+  SELECT k, i, {pick(phrases.SKILLS, "k + i * 5 + c")} AS name, CASE WHEN k % 101 = 0 THEN 'expert' ELSE {pick(phrases.LEVELS, "k + i")} END AS level,
+    CASE WHEN k % 101 = 0 THEN 0 WHEN k % 7 = 0 THEN CASE WHEN (k + i) % 2 = 0 THEN 0 END ELSE (p + i * 11) % 60 END AS months,
     (k * 13 + i * 101) % 620 AS endorsements
   FROM (SELECT *, unnest(range(0, c % 9 + 1)) AS i FROM base WHERE c % 17 <> 0))"""
 
