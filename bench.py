@@ -38,8 +38,6 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        # Small written tables are read with one task per file, as large ones are.
-        .config("spark.sql.files.openCostInBytes", "262144")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

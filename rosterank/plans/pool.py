@@ -2,15 +2,16 @@
 
 The gates of all descriptions travel as one small literal array, so a profile is tested against them where it is
 scanned: one row per profile in, at most one row out, no join and no shuffle, and the outer experience bounds
-reach the file scan as constants.
+reach the file scan as constants. More than MAX_DESCRIPTIONS descriptions are taken in blocks, each with its own scan.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rosterank.functions import gates
@@ -32,10 +33,22 @@ class Gates:
     places: tuple[str, ...]
 
 
-def read_gates(features: DataFrame) -> Gates:
-    rows = features.select("jd_id", "exp_min", "exp_max", "locations").limit(MAX_DESCRIPTIONS + 1).collect()
-    if len(rows) > MAX_DESCRIPTIONS:
-        raise ValueError(f"more than {MAX_DESCRIPTIONS} descriptions: rank them in blocks")
+def gate_boards(features: DataFrame) -> list[Gates]:
+    """The gates of all descriptions; more than MAX_DESCRIPTIONS of them in hash blocks of about a quarter of that."""
+    wanted = features.select("jd_id", "exp_min", "exp_max", "locations")
+    rows = wanted.limit(MAX_DESCRIPTIONS + 1).collect()
+    if len(rows) <= MAX_DESCRIPTIONS:
+        return [_board(rows)]
+    written = stage(wanted, "gates")
+    blocks = -(-4 * written.count() // MAX_DESCRIPTIONS)
+    return [_board(written.filter(F.pmod(F.xxhash64("jd_id"), F.lit(blocks)) == i).collect()) for i in range(blocks)]
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _board(rows: list[Row]) -> Gates:
     items = sorted((r.asDict() for r in rows), key=lambda r: r["jd_id"])
     ddl = "array<struct<jd_id:string,exp_min:bigint,exp_max:bigint,locations:array<string>>>"
     return Gates(
@@ -61,8 +74,14 @@ def _location_ok(gate: Column) -> Column:
 
 
 def gate_profiles(candidates: DataFrame, features: DataFrame, as_of: dt.date, *, use_location: bool = True) -> DataFrame:
-    """Profiles that pass for at least one description, with those descriptions in ``jd_ids``."""
-    board = read_gates(features)
+    """Profiles that pass for at least one description, with those descriptions in ``jd_ids``.
+
+    With more descriptions than one block holds a profile comes once for each block in which it passes.
+    """
+    return _united([_gate_block(candidates, board, as_of, use_location) for board in gate_boards(features)])
+
+
+def _gate_block(candidates: DataFrame, board: Gates, as_of: dt.date, use_location: bool) -> DataFrame:
     years = F.col("profile.years_of_experience")
     in_reach = candidates.filter(years.isNull() | ((years >= board.exp_min) & (years <= board.exp_max)))
     titled = in_reach.filter(~gates.is_disqualified_title(F.col("profile.current_title")))
@@ -108,7 +127,10 @@ def drop_counts(candidates: DataFrame, features: DataFrame, as_of: dt.date) -> D
     Profiles are first counted by everything a gate can see of them (years, matched places, flags), which
     combines before the shuffle; only those groups meet the descriptions.
     """
-    board = read_gates(features)
+    return _united([_drop_block(candidates, board, as_of) for board in gate_boards(features)])
+
+
+def _drop_block(candidates: DataFrame, board: Gates, as_of: dt.date) -> DataFrame:
     bad_title = gates.is_disqualified_title(F.col("profile.current_title"))
     home = gates.in_home_country(F.col("profile.country"))
     hits = gates.location_hits(F.col("profile.location"), strings(board.places))
@@ -157,7 +179,10 @@ def honeypot_reasons(candidates: DataFrame, as_of: dt.date) -> DataFrame:
 
 def honeypot_sample(candidates: DataFrame, features: DataFrame, as_of: dt.date, n: int = 5) -> DataFrame:
     """The first ``n`` profiles per description that fail at the honeypot gate and pass the ones before it."""
-    board = read_gates(features)
+    return _united([_sample_block(candidates, board, as_of, n) for board in gate_boards(features)])
+
+
+def _sample_block(candidates: DataFrame, board: Gates, as_of: dt.date, n: int) -> DataFrame:
     years = F.col("profile.years_of_experience")
     fits = F.filter(
         board.array, lambda g: gates.passes_experience(years, g["exp_min"], g["exp_max"]) & _location_ok(g)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,9 +17,11 @@ def staging_root(spark: SparkSession) -> str:
     root = spark.conf.get(_SETTING, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="rosterank-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)  # a shared folder belongs to the cluster and is left to it
     spark.conf.set(_SETTING, root)
     return root
 

@@ -49,6 +49,23 @@ def test_drop_counts_add_up(spark):
                    "dropped_honeypot": 1, "surviving": 1}
 
 
+def test_descriptions_in_blocks_gate_alike(spark, monkeypatch):
+    rows = [*many(12), profile(30, location="Kochi"), profile(31, skills=[("QLoRA", "expert", 30, 1)])]
+    people = frame(spark, rows)
+    features = jobs.extract_jd_features(jds(spark, [(f"jd{i}", JD if i % 2 else JD.replace("Pune", "Kochi")) for i in range(9)])).cache()
+    found = []
+    for limit in (2_000, 4):
+        monkeypatch.setattr(pool, "MAX_DESCRIPTIONS", limit)
+        found.append(
+            (
+                sorted(map(str, pool.drop_counts(people, features, AS_OF).collect())),
+                sorted(map(str, pool.honeypot_sample(people, features, AS_OF).collect())),
+                sorted(map(str, pool.pool_pairs(pool.build_pool(people, features, AS_OF)).collect())),
+            )
+        )
+    assert len(found[0][0]) == 9 and found[0] == found[1]
+
+
 def test_ranking_is_valid_and_readable(spark, tmp_path):
     ranked = rank_candidates(frame(spark, many(130)), jds(spark, [("a", JD)]), AS_OF)
     out = str(tmp_path / "ranking")
