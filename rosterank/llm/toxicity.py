@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rosterank.llm.common import columns, held_out
 
 WINDOW, STRIDE = 64, 48
-WORD_CHARS = 16  #: characters of a word that the network reads, from its start
+WORD_CHARS = 12  #: characters of a word that the network reads, from its start
 CHAR_CODES = 192
 EMBED, CHAR_EMBED, CHAR_HIDDEN, HIDDEN = 8, 10, 10, 8
 TABLE_WORDS = 150_000  #: words a task keeps
@@ -233,7 +233,7 @@ class Network:
         return loss, g
 
 
-def fit(texts: list[list[list[str]]], labels: list[int], *, steps: int = 420, batch: int = 16, rate: float = 0.015, seed: int = 7) -> Network:
+def fit(texts: list[list[list[str]]], labels: list[int], *, steps: int = 340, batch: int = 16, rate: float = 0.015, seed: int = 7) -> Network:
     """Train on documents given as lists of windows (lists of words)."""
     labels = np.asarray(labels)
     sides = [np.flatnonzero(labels == k) for k in (0, 1)]
@@ -250,7 +250,7 @@ def fit(texts: list[list[list[str]]], labels: list[int], *, steps: int = 420, ba
         if step <= 60:  # before the network knows anything, any window
             chosen = [o[rng.integers(len(o))] for o in options]
         else:
-            options = [o if len(o) <= 6 else [o[i] for i in rng.choice(len(o), 6, replace=False)] for o in options]
+            options = [o if len(o) <= 4 else [o[i] for i in rng.choice(len(o), 4, replace=False)] for o in options]
             flat = [win for o in options for win in o]
             words = sorted({x for win in flat for x in win})
             number = {x: i for i, x in enumerate(words)}
@@ -270,7 +270,7 @@ def fit(texts: list[list[list[str]]], labels: list[int], *, steps: int = 420, ba
 
 
 def train(
-    documents: DataFrame, labels: DataFrame, *, per_label: int = 1200, train_windows: int = 16, steps: int = 420
+    documents: DataFrame, labels: DataFrame, *, per_label: int = 1200, train_windows: int = 16, steps: int = 340
 ) -> Network:
     """Fit on a bounded sample of labelled documents that aren't held out."""
     marked = columns(labels, doc_id="long", toxic="int").where("toxic IS NOT NULL AND doc_id IS NOT NULL")
