@@ -41,15 +41,6 @@ def strongest_skills(skills: Column, skill_weights: Column) -> Column:
     return F.coalesce(F.transform(best, lambda s: s["name"]), F.array().cast("array<string>"))
 
 
-def is_relevant_job(job: Column, skill_weights: Column) -> Column:
-    """A technical role whose description names one of the first 50 terms."""
-    terms = F.slice(skill_weights, 1, QUOTED_TERMS)
-    description = lowered(job["description"])
-    return ~contains_any(lowered(job["title"]), vocab.NON_TECH_ROLES) & F.exists(
-        terms, lambda e: F.contains(description, e["term"])
-    )
-
-
 def first_relevant_job(career: Column, skill_weights: Column) -> Column:
     """The first relevant one of the three latest jobs; NULL when there is none.
 
