@@ -147,6 +147,11 @@ def _shared(owners: list[int], data: list[bytes]) -> Iterator[tuple[int, bytes]]
         at += n
 
 
+def places_of(times: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Places in the global order by (times, hash): all 32 bits of the counts, so that places rise where n-grams do."""
+    return (times << 31) | (hashed >> np.uint64(33)).astype(np.int64)
+
+
 def _classes(size: int, buckets: int, percent: int):
     def work(table: pa.Table, back: pa.Table) -> pa.Table:
         if not len(table) or not len(back):
@@ -172,7 +177,7 @@ def _classes(size: int, buckets: int, percent: int):
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (hashed[1:] != hashed[:-1])
         doc, hashed, times = doc[new], hashed[new], times[new]
-        place = (np.minimum(times, 1 << 18) << 44) | (hashed >> np.uint64(20)).astype(np.int64)
+        place = places_of(times, hashed)
         low, high = np.searchsorted(doc, rows), np.searchsorted(doc, rows, "right")
         out = []
         for r, n, a, b in zip(rows.tolist(), sizes.tolist(), low.tolist(), high.tolist(), strict=True):

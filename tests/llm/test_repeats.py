@@ -5,10 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rosterank.llm import blocks, jaccard, suffixes
-from tests.llm.data import DOCUMENTS, documents
+from rosterank.llm.ordered import Texts
+from tests.llm.data import DOCUMENTS, documents, near, prose
 
 
 def in_order(rows):
@@ -105,3 +107,23 @@ def test_first_places_of_any_bytes():
 def test_cover_meets_every_difference():
     found = {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER}
     assert found == set(range(suffixes.PERIOD))
+
+
+def test_places_rise_with_frequent_grams():
+    """Fragments are cut by places, so the grams of a class have to lie in place order whatever their counts."""
+    text = prose(31, 400)
+    table = pa.table({"batch": pa.array([0, 0], pa.int32()), "doc_id": [1, 2], "tie": [0, 0], "text": [text, near(text, 3, 4)]})
+    doc, hashed = jaccard.grams(Texts(table), 5)
+    known = np.unique(jaccard._keys(hashed, 1)).astype("<u4")
+    times = np.random.default_rng(2).integers(2, 1 << 32, len(known)).astype("<u4")
+    times[::2] = times[::2] % (1 << 20) + 2
+    back = pa.table({"idx": [[0, 1]], "sizes": [[len(set(hashed[doc == k].tolist())) for k in (0, 1)]], "data": [np.uint32(0).tobytes() + known.tobytes() + times.tobytes()]})
+    rows = jaccard._classes(5, 1, 80)(table, back).to_pylist()
+    assert len(rows) == 2 and all(r["places"] == sorted(r["places"]) and r["places"][0] >= 0 for r in rows)
+    for pivot in sorted({p for r in rows for p in r["places"]})[::20]:
+        low, high = set(), set()
+        for r in rows:
+            cut = sum(p < pivot for p in r["places"])
+            low |= set(r["grams"][:cut])
+            high |= set(r["grams"][cut:])
+        assert not low & high
