@@ -6,7 +6,9 @@ A repeat is a string of ``length`` bytes (a window) of one document that also st
    equal windows have equal anchors at the same place. Consecutive windows with one anchor are a context. Anchors are
    counted over all documents; contexts whose anchor is unique hold no repeat and go no further.
 2. Suffix buckets. The remaining contexts (each different one of a batch once) are dealt by anchor. A bucket holds all
-   candidates for equality, so the buckets are sorted independently, one at a time in each task.
+   candidates for equality, so the buckets are sorted independently, one at a time in each task. Contexts of a hot anchor
+   (more than ``HOT_CONTEXTS`` that differ) would crowd one bucket: their windows are dealt one by one, each different one
+   of a batch once, by a hash of the whole window, and compared by 128 bits of two independent hashes.
 3. In a bucket the windows are sorted in blocks by their first bytes. Long ties are resolved by ranks of a difference
    cover sample, made once per bucket: of positions that are in the cover modulo ``PERIOD``, ranked by ``DEPTH`` bytes.
    Any two windows reach sample positions by one common shift, so first bytes, a sample rank and last bytes decide
@@ -51,6 +53,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 EDGE = 16
 #: Windows of a block.
 BLOCK = 1 << 18
+#: Differing contexts, summed over the batches, from which an anchor's windows are dealt on.
+HOT_CONTEXTS = 1 << 13
 
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 _CLEANED = pa.schema(
@@ -81,6 +85,7 @@ class Contexts:
         data, offsets = texts.bytes, texts.offsets
         n, empty = len(data), np.empty(0, np.int64)
         self.length, self.data = length, data
+        self.sums = self.inverse = np.empty(0, np.uint64)
         self.low = self.high = empty
         self.anchor = self.whole = np.empty(0, np.uint64)
         if n < length:
@@ -112,8 +117,12 @@ class Contexts:
         low[same] = np.maximum(low[same], place[same - 1] + 1)
         high = np.minimum(stop[run], place)
         use = low <= high
-        self.low, self.high, self.anchor = low[use], high[use], value[use]
-        self.whole = mix((sums[self.high + length] - sums[self.low]) * inverse[self.low] + (self.high - self.low).astype(np.uint64))
+        self.low, self.high, self.anchor, self.sums, self.inverse = low[use], high[use], value[use], sums, inverse
+        self.whole = self.hashes(self.low, self.high)
+
+    def hashes(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hashes of the contexts of the windows low to high."""
+        return mix((self.sums[high + self.length] - self.sums[low]) * self.inverse[low] + (high - low).astype(np.uint64))
 
 
 def anchor_keys(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -121,13 +130,24 @@ def anchor_keys(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (anchor & np.uint64(0xFFFFFFFF))
 
 
+def differing(codes: np.ndarray) -> np.ndarray:
+    """Differing contexts of an anchor in a batch, from its code: 0 occurs once, 1 more often in one form, then in eighths of a doubling."""
+    return np.where(codes < 2, 1, np.exp2((codes.astype(np.float64) - 2) / 8))
+
+
 def _anchors(length: int, buckets: int):
     def pack(texts: Texts) -> Iterator[tuple[int, bytes]]:
-        keys = np.sort(anchor_keys(Contexts(texts, length).anchor, buckets))
+        every = Contexts(texts, length)
+        keys = anchor_keys(every.anchor, buckets)
+        order = np.lexsort((every.whole, keys))
+        keys, whole = keys[order], every.whole[order]
         first = groups_of(keys)
         if not len(first):
             return
-        many = (np.diff(np.append(first, len(keys))) > 1).astype(np.uint8)
+        new = np.ones(len(keys), np.int64)
+        new[1:] = (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])
+        forms, times = np.add.reduceat(new, first), np.diff(np.append(first, len(keys)))
+        many = np.where(forms > 1, 2 + np.ceil(8 * np.log2(forms)), times > 1).astype(np.uint8)
         low = (keys[first] & np.uint64(0xFFFFFFFF)).astype("<u4")
         for k, part in by_bucket(keys[first] >> np.uint64(32), buckets):
             yield k, np.uint32(k).tobytes() + low[part].tobytes() + many[part].tobytes()
@@ -135,34 +155,57 @@ def _anchors(length: int, buckets: int):
     return pack
 
 
-def _repeated(owners: list[int], data: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """The anchors that occur at least twice, to each batch that holds them."""
-    sizes = [(len(d) - 4) // 5 for d in data]
-    low = np.concatenate([np.frombuffer(d, "<u4", n, 4) for d, n in zip(data, sizes, strict=True)])
-    many = np.concatenate([np.frombuffer(d, np.uint8, n, 4 + 4 * n) for d, n in zip(data, sizes, strict=True)])
-    order = np.argsort(low, kind="stable")
-    first = groups_of(low[order])
-    count = np.add.reduceat(1 + many[order].astype(np.int64), first)
-    hit = np.zeros(len(low), bool)
-    hit[order] = np.repeat(count > 1, np.diff(np.append(first, len(low))))
-    at = 0
-    for owner, d, n in zip(owners, data, sizes, strict=True):
-        found = low[at : at + n][hit[at : at + n]]
-        if len(found):
-            yield owner, d[:4] + found.tobytes()
-        at += n
+def _repeated(hot_contexts: int):
+    def answer(owners: list[int], data: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """The anchors that occur at least twice, to each batch that holds them: bucket, number of those that aren't hot, these, the hot ones."""
+        sizes = [(len(d) - 4) // 5 for d in data]
+        low = np.concatenate([np.frombuffer(d, "<u4", n, 4) for d, n in zip(data, sizes, strict=True)])
+        many = np.concatenate([np.frombuffer(d, np.uint8, n, 4 + 4 * n) for d, n in zip(data, sizes, strict=True)])
+        order = np.argsort(low, kind="stable")
+        first = groups_of(low[order])
+        of = np.diff(np.append(first, len(low)))
+        count = np.add.reduceat(1 + (many[order] > 0).astype(np.int64), first)
+        crowd = np.add.reduceat(differing(many[order]), first)
+        hit, hot = np.zeros(len(low), bool), np.zeros(len(low), bool)
+        hit[order], hot[order] = np.repeat(count > 1, of), np.repeat(crowd > hot_contexts, of)
+        at = 0
+        for owner, d, n in zip(owners, data, sizes, strict=True):
+            own, hit_, hot_ = low[at : at + n], hit[at : at + n], hot[at : at + n]
+            even = own[hit_ & ~hot_]
+            if hit_.any():
+                yield owner, d[:4] + np.uint32(len(even)).tobytes() + even.tobytes() + own[hit_ & hot_].tobytes()
+            at += n
+
+    return answer
 
 
 class Candidates:
-    """The contexts of a batch with repeated anchors, each different one once and numbered within its bucket."""
+    """The contexts of a batch with repeated anchors, each different one once and numbered within its bucket.
+
+    Each window of a hot anchor is a context of its own. Its bucket is ``buckets`` or more: a key of the whole window
+    modulo ``buckets`` names the task.
+    """
 
     def __init__(self, texts: Texts, back: list[bytes], length: int, anchor_buckets: int, buckets: int):
         every = Contexts(texts, length)
         told = [np.frombuffer(d, "<u4") for d in back]
-        known = np.sort(np.concatenate([d[1:].astype(np.uint64) | (np.uint64(d[0]) << np.uint64(32)) for d in told] or [np.empty(0, np.uint64)]))
-        use = member(anchor_keys(every.anchor, anchor_buckets), known)
-        self.data, self.low, self.high = every.data, every.low[use], every.high[use]
-        whole, bucket = every.whole[use], mix(every.anchor[use]) % np.uint64(buckets)
+        full = lambda d, low: low.astype(np.uint64) | (np.uint64(d[0]) << np.uint64(32))
+        none = [np.empty(0, np.uint64)]
+        known = np.sort(np.concatenate([full(d, d[2 : 2 + d[1]]) for d in told] or none))
+        crowded = np.sort(np.concatenate([full(d, d[2 + d[1] :]) for d in told] or none))
+        keys = anchor_keys(every.anchor, anchor_buckets)
+        use, hot = member(keys, known), np.flatnonzero(member(keys, crowded))
+        self.data = every.data
+        number = every.high[hot] - every.low[hot] + 1
+        windows = np.repeat(every.low[hot] - (np.cumsum(number) - number), number) + np.arange(number.sum())
+        self.low, self.high = np.append(every.low[use], windows), np.append(every.high[use], windows)
+        self.other = window_keys(self.data, windows, length)  #: second hashes of the windows, which are the last contexts
+        self.even = int(use.sum())  #: contexts before them
+        whole = np.append(every.whole[use], every.hashes(windows, windows))
+        bucket = np.append(mix(every.anchor[use]) % np.uint64(buckets), mix(self.other) % np.uint64(buckets) + np.uint64(buckets))
+        place = np.argsort(self.low, kind="stable")  # in text order again
+        self.low, self.high, whole, bucket = self.low[place], self.high[place], whole[place], bucket[place]
+        self.whole, self.place = whole, place
         order = np.lexsort((whole, bucket))  # stable: copies stay in text order
         new = np.ones(len(order), bool)
         new[1:] = (whole[order][1:] != whole[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
@@ -181,8 +224,12 @@ def _contexts(length: int, anchor_buckets: int, buckets: int):
     def pack(texts: Texts, back: pa.Table) -> Iterator[tuple[int, bytes]]:
         some = Candidates(texts, back.column("data").to_pylist(), length, anchor_buckets, buckets)
         press, raw = zstandard.ZstdCompressor(level=1), memoryview(some.data.tobytes())
-        for k, part in by_bucket(some.bucket, buckets):
+        for k, part in by_bucket(some.bucket, 2 * buckets):
             own = some.sent[part]
+            if k >= buckets:
+                head = np.array([k, len(own)], "<u4").tobytes()
+                yield k - buckets, press.compress(head + some.whole[own].tobytes() + some.other[some.place[own] - some.even].tobytes())
+                continue
             low, high = some.low[own], some.high[own]
             body = b"".join(raw[a:b] for a, b in zip(low.tolist(), (high + length).tolist(), strict=True))
             head = np.array([k, len(own)], "<u4").tobytes() + (high - low).astype("<u2").tobytes()
@@ -196,6 +243,14 @@ def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, 8)[at].copy().view(">u8")[:, 0].astype(np.uint64)
 
 
+def window_keys(data: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of whole windows, independent of the sums that anchors and contexts are hashed by."""
+    keys = np.full(len(windows), 0x5851F42D4C957F2D, np.uint64)
+    for k in [*range(0, length - 7, 8), length - 8] if len(windows) else []:
+        keys = mix(keys * np.uint64(0xD6E8FEB86659FD93) + words_at(data, windows + k))
+    return keys
+
+
 def sample_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the strings of ``depth`` bytes (a multiple of eight) at the given places; equal strings rank alike."""
     keys = [words_at(data, at + k) for k in range(0, depth, 8)]
@@ -266,13 +321,38 @@ def first_places(data: np.ndarray, windows: np.ndarray, length: int) -> np.ndarr
     return first
 
 
-def _sorted_bucket(length: int):
+def _later_windows(owners: list[int], data: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """The windows of hot anchors that an earlier batch has sent too, as _sorted_bucket's rows."""
+    if not owners:
+        return
+    head = np.array([np.frombuffer(d, "<u4", 2) for d in data]).astype(np.int64)
+    number = head[:, 1]
+    one, two = (np.concatenate([np.frombuffer(d, "<u8", n, 8 + 8 * n * k) for d, n in zip(data, number.tolist(), strict=True)]) for k in (0, 1))
+    order = np.lexsort((two, one))  # stable: in order of the batches
+    later = np.zeros(len(one), bool)
+    later[order[1:]] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    ends = np.cumsum(number)
+    for batch, k, a, b in zip(owners, head[:, 0].tolist(), (ends - number).tolist(), ends.tolist(), strict=True):
+        at = np.flatnonzero(later[a:b])
+        if len(at):
+            rows = np.zeros((len(at), 3), "<u4")
+            rows[:, 0] = at
+            yield batch, np.uint32(k).tobytes() + rows.tobytes()
+
+
+def _sorted_bucket(length: int, buckets: int):
     def answer(owners: list[int], data: list[bytes]) -> Iterator[tuple[int, bytes]]:
         press = zstandard.ZstdDecompressor()
+        opened = [press.decompress(d) for d in data]
+        hot = [int(np.frombuffer(raw, "<u4", 1)[0]) >= buckets for raw in opened]
+        some = lambda values, kind: [v for v, h in zip(values, hot, strict=True) if h == kind]
+        yield from _later_windows(some(owners, True), some(opened, True))
+        owners, data = some(owners, False), some(opened, False)
+        if not owners:
+            return
         known: dict[bytes, int] = {}
         texts, counts, kinds, bucket = [], [], [], 0
-        for d in data:
-            raw = press.decompress(d)
+        for raw in data:
             bucket, n = np.frombuffer(raw, "<u4", 2)
             sizes = np.frombuffer(raw, "<u2", n, 8).astype(np.int64) + length
             ends = 8 + 2 * int(n) + np.cumsum(sizes)
@@ -321,7 +401,7 @@ def _clean(length: int, anchor_buckets: int, buckets: int, keep_bytes: bool):
         depth = np.zeros(len(texts.bytes) + 1, np.int64)
         np.add.at(depth, some.low[some.again], 1)
         np.add.at(depth, some.high[some.again] + length, -1)
-        base = np.searchsorted(some.bucket, np.arange(buckets))
+        base = np.searchsorted(some.bucket, np.arange(2 * buckets))
         for d in told:
             row = d[1:].reshape(-1, 3).astype(np.int64)
             low = some.low[some.sent[base[d[0]] + row[:, 0]]]
@@ -352,11 +432,11 @@ def remove_repeats(documents: DataFrame, *, length: int = 100, keep_bytes: bool
     batches, size = ordered_batches(documents, batch_bytes=2 << 20)
     release(spark)
     anchor_buckets = buckets_for(spark, size / 30 * 5, 16 << 20)
-    anchors = stage(exchange(send(batches, _anchors(length, anchor_buckets)), _repeated, anchor_buckets), "anchors")
+    anchors = stage(exchange(send(batches, _anchors(length, anchor_buckets)), _repeated(HOT_CONTEXTS), anchor_buckets), "anchors")
     release(spark)
     buckets = buckets_for(spark, size / 2, 6 << 20)
     sent = send(batches, _contexts(length, anchor_buckets, buckets), anchors)
-    repeats = stage(exchange(sent, _sorted_bucket(length), buckets), "repeats")
+    repeats = stage(exchange(sent, _sorted_bucket(length, buckets), buckets), "repeats")
     release(spark)
     marked = lambda df, kind: df.select("batch", F.concat(F.lit(kind).cast("binary"), "data").alias("data"))
     told = marked(anchors, "a").union(marked(repeats, "r"))

@@ -1,6 +1,7 @@
 """op7, op8 and op10 against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -127,3 +128,36 @@ def test_places_rise_with_frequent_grams():
             low |= set(r["grams"][:cut])
             high |= set(r["grams"][cut:])
         assert not low & high
+
+
+def brute_bytes(rows):
+    seen, want = set(), []
+    for doc_id, text in in_order(rows):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(raw[s : s + 100])
+        want.append((doc_id, sum(gone), bytes(b for b, g in zip(raw, gone, strict=True) if not g)))
+    return want
+
+
+def test_hot_anchors_spread_over_tasks(spark, monkeypatch):
+    """A line that many documents share between different texts: its contexts don't meet in one task, and nothing is lost."""
+    monkeypatch.setattr(suffixes, "HOT_CONTEXTS", 20, raising=False)
+    line, r = "#license 7781 zq: this line stands in every second file, ok#", random.Random(8)
+    odd = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    right = [odd(45) for _ in range(150)]  # two documents go on alike after the line
+    rows = [(i, odd(120) + line + right[i // 2] + odd(90) + (line * 2 if i % 50 == 0 else "")) for i in range(300)]
+    sizes, exchange = [], suffixes.exchange
+
+    def watched(sent, answer, buckets):
+        sizes.append([r[0] for r in sent.selectExpr("bucket", "length(data) AS n").groupBy("bucket").sum("n").select("sum(n)").collect()])
+        return exchange(sent, answer, buckets)
+
+    monkeypatch.setattr(suffixes, "exchange", watched)
+    got = suffixes.remove_repeats(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in got) == sorted(brute_bytes(rows))
+    assert sum(r["n_removed"] > 0 for r in got) >= 150
+    assert max(sizes[1]) < 0.5 * sum(sizes[1])
