@@ -5,10 +5,12 @@ their strings, cut into cells by leading bits (about ``CELL`` vectors each). A q
 
 * In its cell it takes the sorted array's longest-prefix matches and ascends to shorter prefixes until it has
   ``enough`` candidates, or the cell is used up. All candidates are scored on the original vectors.
+* Then it takes the rest of its cell, in every tree and block where it stopped at a longer prefix.
 * Then it ascends above its cell, in all trees together, one bit at a time: each step adds the sibling subtrees.
 * It stops when the neighbours found make it likely that no better one is left: a vector as near as the current last
   neighbour shares a bit with the query with probability p = 1 - angle / pi, and so has escaped all trees with
-  probability prod(1 - p ** level). At the top of the trees the search is exact, so no query is left without an answer.
+  probability prod(1 - p ** level). A tree's level is the shortest prefix that all its blocks have been searched to. At
+  the top of the trees the search is exact, so no query is left without an answer.
 
 Cells that hold more than ``CELL_MOST`` vectors (copies, dense groups) are split over blocks that a query visits one by
 one. No planes are learned; every vector is in every tree.
@@ -36,9 +38,9 @@ TREES, BITS = 16, 32
 CELL, CELL_MOST = 2048, 8192
 NEIGHBOURS = "query_id long, rank int, vec_id long, score double"
 _POINTS = "dim int, tree int, cell long, part long, n long, codes binary, ids binary, vecs binary"
-_FOUND = "query_id long, tree int, level int, ids array<long>, scores array<double>"
+_FOUND = "query_id long, tree int, block int, level int, ids array<long>, scores array<double>"
 _FOUND_SCHEMA = pa.schema(
-    [("query_id", pa.int64()), ("tree", pa.int32()), ("level", pa.int32()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]
+    [("query_id", pa.int64()), ("tree", pa.int32()), ("block", pa.int32()), ("level", pa.int32()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]
 )
 
 
@@ -109,13 +111,13 @@ def _top(query: np.ndarray, own: int, ids: np.ndarray, vecs: np.ndarray, rough:
     return ids_[once].tolist(), scores[once].tolist()
 
 
-def _search(depth: int, level: int, enough: int, k: int):
-    """Answer the queries of one block of one cell; ``level`` is how far up the tree this visit counts."""
+def _search(depth: int, level: int, enough: int | None, k: int):
+    """Answer the queries of one block of one cell; ``level`` is how far up the tree this visit counts; without ``enough`` the block is taken whole."""
 
     def both(points: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(points) or not len(queries):
             return _FOUND_SCHEMA.empty_table()
-        dim, tree = queries.column("dim")[0].as_py(), queries.column("tree")[0].as_py()
+        dim, tree, block = (queries.column(name)[0].as_py() for name in ("dim", "tree", "block"))
         joined = lambda name, kind: np.frombuffer(b"".join(points.column(name).to_pylist()), kind)
         codes, ids = joined("codes", np.int64), joined("ids", np.int64)
         vecs = joined("vecs", np.float64).reshape(-1, dim)
@@ -125,15 +127,15 @@ def _search(depth: int, level: int, enough: int, k: int):
         asked = np.frombuffer(b"".join(queries.column("vec").to_pylist()), np.float64).reshape(-1, dim)
         out = []
         for q, code, own in zip(asked, queries.column("code").to_pylist(), queries.column("query_id").to_pylist(), strict=True):
-            low, high, at = 0, len(codes), min(level, depth)
-            if level >= depth:  # its own cell: from the longest prefix upwards
+            low, high, at = 0, len(codes), level
+            if enough is not None:  # its own cell: from the longest prefix upwards
                 for at in range(BITS, depth - 1, -1):
                     low = int(np.searchsorted(codes, code >> (BITS - at) << (BITS - at)))
                     high = int(np.searchsorted(codes, ((code >> (BITS - at)) + 1) << (BITS - at)))
                     if high - low >= enough:
                         break
             rough = unit[low:high] @ (q / math.sqrt(float((q * q).sum())))
-            out.append((own, tree, at, *_top(q, own, ids[low:high], vecs[low:high], rough, k)))
+            out.append((own, tree, block, at, *_top(q, own, ids[low:high], vecs[low:high], rough, k)))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FOUND_SCHEMA, strict=True)], schema=_FOUND_SCHEMA)
 
     return both
@@ -188,26 +190,32 @@ def nearest(table: DataFrame, is_query, *, k: int = 5, target: float = 0.93, eno
     release(spark)
     asked = stage(_queries(vectors.where(is_query), seed), "queries")
     waiting, answers = asked, None
-    for level in range(depth, -1, -1):
+    # its own cell to a prefix with enough candidates, the rest of that cell, then level by level up to the top
+    for step, level in enumerate([depth, *range(depth, -1, -1)]):
         bits = depth - level - 1
         prefix = lambda code: F.shiftright(code, BITS - level) if level else F.lit(0).cast("long")  # noqa: E731, B023
         each = waiting.select("query_id", "dim", "vec", F.posexplode("codes").alias("tree", "code"))
+        each = each if level or not step else each.where("tree = 0")  # at the top one tree is enough
         if level == depth:
             visits = each.withColumn("cell", prefix(F.col("code")))
-        else:  # the other half of the tree below the shorter prefix; at the top one tree is enough
-            each = each if level else each.where("tree = 0")
+        else:  # the other half of the tree below the shorter prefix
             half = F.bitwise_not(F.shiftright("code", BITS - level - 1)).bitwiseAND(F.lit(1).cast("long"))
             base = F.shiftleft(F.shiftleft(prefix(F.col("code")), 1) + half, bits)
             visits = each.withColumn("cell", F.explode(F.sequence(base, base + F.lit((1 << bits) - 1))))
         visits = visits.join(counts, ["dim", "tree", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        if step == 1:  # blocks that were used up have no rest
+            short = answers.where(F.col("level") > depth).select("query_id", "tree", "block").distinct()
+            visits = visits.join(short, ["query_id", "tree", "block"])
         some = forest.groupBy(*key).cogroup(visits.select(*key, "query_id", "code", "vec").groupBy(*key))
-        new = stage(some.applyInArrow(_search(depth, level, enough, k), _FOUND), "found")
+        new = stage(some.applyInArrow(_search(depth, level, None if step else enough, k), _FOUND), "found")
+        new = new.withColumn("step", F.lit(step))
         answers = new if answers is None else answers.union(new)
-        if level == 0:
+        if step and level == 0:
             break
         # what may have escaped: trees that weren't entered at all don't occur in the product
         last = _merged(answers, k).select("query_id", F.when(F.size("best") >= k, -F.element_at("best", k)["far"]).alias("last"))
-        reached = answers.groupBy("query_id", "tree").agg(F.min("level").alias("level"))
+        # a step counts in a tree as far as all of its blocks have been searched
+        reached = answers.groupBy("query_id", "tree", "step").agg(F.max("level").alias("level")).groupBy("query_id", "tree").agg(F.min("level").alias("level"))
         share = 1 - F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("last")))) / math.pi
         # just below 1, so that a certain hit has a logarithm
         missed = F.sum(F.log(1 - F.least(F.lit(1 - 1e-12), F.pow(share, F.col("level")))))

@@ -134,6 +134,20 @@ def test_neighbours_through_many_cells(spark, monkeypatch):
     assert len(want & {(r["query_id"], r["vec_id"]) for r in rows}) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("count", [300, 900])  # in one cell, and in many
+def test_neighbours_are_exact_at_the_top(spark, monkeypatch, count):
+    monkeypatch.setattr(forest, "CELL", 400)
+    monkeypatch.setattr(forest, "CELL_MOST", 90)
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(count, 24))
+    data[: count // 3] = data[0] + 0.3 * rng.normal(size=(count // 3, 24))  # a dense group in cells of several blocks
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    rows = forest.nearest(table, F.col("vec_id") % 10 == 0, enough=6, target=2.0).collect()  # never content before the top
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    want = {(q, k + 1, int(v)) for q in range(0, count, 10) for k, v in enumerate(np.argsort(-(unit @ unit[q]))[1:6])}
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in rows} == want
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(components.components(spark.createDataFrame(chain, "a long, b long")).collect())
