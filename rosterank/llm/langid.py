@@ -1,7 +1,7 @@
 """Language mixtures by expectation-maximisation over letter trigrams.
 
 * Training counts hashed trigrams per language on a sample drawn by a hash of id and text: about ``per_language``
-  documents of each language (the documented bound of the classifier's sample), each up to ``train_chars`` characters.
+  documents of each language (the documented bound of the classifier's sample), each as a whole.
 * A text is a mixture: each trigram is drawn from one of the languages. Expectation-maximisation gives the shares.
 * The set of languages is grown from the best single one while the likelihood gains more than the penalty
   ``penalty * log(trigrams)`` per language.
@@ -96,9 +96,7 @@ class Model:
         return self.languages[top], float(min(1.0, whole[top])), names, [float(mix[int(i)]) for i in order]
 
 
-def train(
-    documents: DataFrame, *, per_language: int = 1500, train_chars: int = 20_000, smoothing: float = 0.05
-) -> Model:
+def train(documents: DataFrame, *, per_language: int = 1500, smoothing: float = 0.05) -> Model:
     """Trigram likelihoods per language from rows (text, lang) of a bounded sample."""
     docs = columns(documents, doc_id="long", text="string", lang="string")
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
@@ -115,7 +113,7 @@ def train(
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
                 sums = found.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                sums += np.bincount(trigrams(text.as_py()[:train_chars], letters), minlength=1 << BITS)
+                sums += np.bincount(trigrams(text.as_py(), letters), minlength=1 << BITS)
         for lang, sums in found.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays(

@@ -134,6 +134,16 @@ def test_neighbours_through_many_cells(spark, monkeypatch):
     assert len(want & {(r["query_id"], r["vec_id"]) for r in rows}) >= 0.9 * len(want)
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    rows = [(i, lang, spoken(lang, i, 30)) for i in range(60) for lang in [("aa", "bb")[i % 2]]]
+    late = "0 " * 12_000 + "zuvwq " * 20  # words that stand behind 20,000 characters only
+    rows += [(100 + i, "bb", spoken("bb", i, 30) + late) for i in range(9)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    asked = spark.createDataFrame([(1, "zuvwq zuvwq")], "doc_id long, text string")
+    row = langid.identify(asked, model).first()
+    assert row["lang_pred"] == "bb" and row["score"] > 0.9
+
+
 @pytest.mark.parametrize("count", [300, 900])  # in one cell, and in many
 def test_neighbours_are_exact_at_the_top(spark, monkeypatch, count):
     monkeypatch.setattr(forest, "CELL", 400)
