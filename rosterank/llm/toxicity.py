@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network, trained and run in numpy.
 
-A word's input is an embedding of the word (known words only) and the last states of a bidirectional recurrent network
+A run of word characters is cut into words of at most ``WORD_CHARS`` characters, so that the network reads all of a text
+without blanks too. A word's input is an embedding of the word (known words only) and the last states of a bidirectional recurrent network
 over its characters. A second bidirectional network runs over the words of a window; attention pools its states.
 Every text is scored on all windows of ``WINDOW`` words, ``STRIDE`` apart; its score is that of the worst window.
 
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 from rosterank.llm.common import columns, held_out
 
 WINDOW, STRIDE = 64, 48
-WORD_CHARS = 12  #: characters of a word that the network reads, from its start
+WORD_CHARS = 16  #: characters of a word at most; longer runs are several words
 CHAR_CODES = 192
 EMBED, CHAR_EMBED, CHAR_HIDDEN, HIDDEN = 8, 10, 10, 8
 TABLE_WORDS = 150_000  #: words a task keeps
-WORD = re.compile(r"\w+")
+WORD = re.compile(rf"\w{{1,{WORD_CHARS}}}")
 SCORES = "doc_id long, held_out boolean, score double, worst_window long"
 
 
@@ -52,7 +53,7 @@ def window_starts(n: int) -> list[int]:
 
 def char_codes(words: list[str]) -> np.ndarray:
     """word x WORD_CHARS codes from 1; 0 is no character. ASCII has own codes, others share the rest."""
-    raw = np.frombuffer("".join(w[:WORD_CHARS].ljust(WORD_CHARS, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = np.frombuffer("".join(w.ljust(WORD_CHARS, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(raw < 128, raw, 128 + raw % (CHAR_CODES - 128)).astype(np.int32)
     return codes.reshape(len(words), WORD_CHARS)
 
@@ -233,7 +234,7 @@ class Network:
         return loss, g
 
 
-def fit(texts: list[list[list[str]]], labels: list[int], *, steps: int = 340, batch: int = 16, rate: float = 0.015, seed: int = 7) -> Network:
+def fit(texts: list[list[list[str]]], labels: list[int], *, steps: int = 420, batch: int = 16, rate: float = 0.015, seed: int = 7) -> Network:
     """Train on documents given as lists of windows (lists of words)."""
     labels = np.asarray(labels)
     sides = [np.flatnonzero(labels == k) for k in (0, 1)]
@@ -250,7 +251,7 @@ def fit(texts: list[list[list[str]]], labels: list[int], *, steps: int = 340, ba
         if step <= 60:  # before the network knows anything, any window
             chosen = [o[rng.integers(len(o))] for o in options]
         else:
-            options = [o if len(o) <= 4 else [o[i] for i in rng.choice(len(o), 4, replace=False)] for o in options]
+            options = [o if len(o) <= 6 else [o[i] for i in rng.choice(len(o), 6, replace=False)] for o in options]
             flat = [win for o in options for win in o]
             words = sorted({x for win in flat for x in win})
             number = {x: i for i, x in enumerate(words)}
@@ -270,7 +271,7 @@ def fit(texts: list[list[list[str]]], labels: list[int], *, steps: int = 340, ba
 
 
 def train(
-    documents: DataFrame, labels: DataFrame, *, per_label: int = 1200, train_windows: int = 16, steps: int = 340
+    documents: DataFrame, labels: DataFrame, *, per_label: int = 1200, train_windows: int = 16, steps: int = 420
 ) -> Network:
     """Fit on a bounded sample of labelled documents that aren't held out."""
     marked = columns(labels, doc_id="long", toxic="int").where("toxic IS NOT NULL AND doc_id IS NOT NULL")

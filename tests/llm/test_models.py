@@ -69,6 +69,14 @@ def test_windows_cover_every_word():
         assert covered == set(range(n)) and len(starts) == len(set(starts))
 
 
+def test_every_character_of_a_long_run_is_read(spark):
+    assert toxicity.split_words("x" * 40 + " Ab_c") == ["x" * 16, "x" * 16, "x" * 8, "ab_c"]
+    rows, labels = toxic_rows(300)
+    net = toxicity.train(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), steps=5)
+    runs = ["a" * 100, "a" * 60 + "scumloser" + "a" * 31, "a" * 99 + "z"]
+    assert len({r["score"] for r in toxicity.score_documents(documents(spark, list(enumerate(runs))), net).collect()}) == 3
+
+
 LANGUAGES = {"aa": "kata moro sulu teke".split(), "bb": "xyzz quorl blip snarg".split()}
 
 
