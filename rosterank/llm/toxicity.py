@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rosterank.llm.common import columns, held_out
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 WORD_CHARS = 16  #: characters of a word at most; longer runs are several words
 CHAR_CODES = 192
 EMBED, CHAR_EMBED, CHAR_HIDDEN, HIDDEN = 8, 10, 10, 8

@@ -69,6 +69,13 @@ def test_windows_cover_every_word():
         assert covered == set(range(n)) and len(starts) == len(set(starts))
 
 
+def test_a_passage_of_half_a_window_lies_whole_in_a_window():
+    half = toxicity.WINDOW // 2
+    for n in (64, 65, 112, 113, 500):
+        starts = toxicity.window_starts(n)
+        assert all(any(s <= at and at + half <= s + toxicity.WINDOW for s in starts) for at in range(n - half + 1))
+
+
 def test_every_character_of_a_long_run_is_read(spark):
     assert toxicity.split_words("x" * 40 + " Ab_c") == ["x" * 16, "x" * 16, "x" * 8, "ab_c"]
     rows, labels = toxic_rows(300)
