@@ -81,10 +81,15 @@ class Model:
         single = times @ np.log(self.chance[grams])
         chosen, best = [int(single.argmax())], float(single.max())
         mix, cost = np.ones(1), penalty * np.log(times.sum() + 1)
-        # only a language with some share in the whole mixture can raise the likelihood by the penalty
-        rest = [int(k) for k in np.argsort(-whole) if k != chosen[0] and whole[k] > 0.02]
+        rest = [int(k) for k in np.argsort(-whole) if k != chosen[0]]
         while rest:
-            tried = [(*self.shares(grams, times, np.array([*chosen, k])), k) for k in rest]
+            # the likelihood is concave in the shares: its slopes bound what a further language can gain
+            p = self.chance[grams]
+            slopes = (times / (p[:, chosen] @ mix)) @ p
+            able = [k for k in rest if max(slopes[k], slopes[chosen].max()) - times.sum() > cost]
+            if not able:
+                break
+            tried = [(*self.shares(grams, times, np.array([*chosen, k])), k) for k in able]
             some, likely, k = max(tried, key=lambda t: t[1])
             if likely - best <= cost:
                 break

@@ -149,6 +149,14 @@ def test_neighbours_through_many_cells(spark, monkeypatch):
     assert len(want & {(r["query_id"], r["vec_id"]) for r in rows}) >= 0.9 * len(want)
 
 
+def test_a_small_share_of_a_long_text_is_a_language(spark):
+    rows = [(i, lang, spoken(lang, i, 30)) for i in range(60) for lang in [("aa", "bb")[i % 2]]]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    text = spoken("aa", 1, 9900) + " " + spoken("bb", 2, 100)
+    row = langid.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert row["languages"] == ["aa", "bb"] and 0.005 < row["shares"][1] < 0.02
+
+
 def test_languages_are_learned_from_whole_texts(spark):
     rows = [(i, lang, spoken(lang, i, 30)) for i in range(60) for lang in [("aa", "bb")[i % 2]]]
     late = "0 " * 12_000 + "zuvwq " * 20  # words that stand behind 20,000 characters only
