@@ -34,8 +34,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, packing.default_tokenizer())
+    """The pieces of all documents, with their token ids, in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, packing.default_tokenizer(), keep_ids=True)
 
 
 STAGES = [

@@ -212,3 +212,11 @@ def test_pipeline_stages(spark, tmp_path):
     packed = stages[4](spark, safe, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in safe.collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_pipeline_keeps_the_tokens(spark, tmp_path):
+    import corpus_pipeline
+
+    packed = corpus_pipeline.packed(spark, documents(spark), str(tmp_path)).collect()
+    assert packed and all(len(r["ids"]) == r["length"] for r in packed)
+    assert all(zlib.crc32(np.asarray(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in packed)
