@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterank.llm import blocks, decontaminate, forest, jaccard, langid, packing, secrets, suffixes, toxicity, warc
+from rosterank.llm import (
+    blocks,
+    decontaminate,
+    forest,
+    interactions,
+    jaccard,
+    langid,
+    packing,
+    rotation,
+    runs,
+    secrets,
+    suffixes,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,6 +33,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_blocks": blocks.op8_blocks,
     "op9_packing": packing.op9_packing,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_rotation": rotation.op11_rotation,
+    "op12_interactions": interactions.op12_interactions,
+    "op13_runs": runs.op13_runs,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op2_decontaminate": decontaminate.SQL, "op4_secrets": secrets.SQL, "op8_blocks": blocks.SQL, "op10_jaccard": jaccard.SQL}
+ORACLES: dict[str, str] = {
+    "op1_warc": warc.SQL,
+    "op2_decontaminate": decontaminate.SQL,
+    "op4_secrets": secrets.SQL,
+    "op8_blocks": blocks.SQL,
+    "op10_jaccard": jaccard.SQL,
+    "op11_rotation": rotation.SQL,
+    "op12_interactions": interactions.SQL,
+    "op13_runs": runs.SQL,
+}
