@@ -1,7 +1,8 @@
 """Language mixtures by expectation-maximisation over letter trigrams.
 
 * Training counts hashed trigrams per language on a sample drawn by a hash of id and text: about ``per_language``
-  documents of each language (the documented bound of the classifier's sample), each as a whole.
+  documents of each language (the documented bound of the classifier's sample), each as a whole. At most ``languages``
+  values of ``lang`` are learned, those of the most documents (ties by name), which bounds the model.
 * A text is a mixture: each trigram is drawn from one of the languages. Expectation-maximisation gives the shares.
 * The set of languages is grown from the best single one while the likelihood gains more than the penalty
   ``penalty * log(trigrams)`` per language.
@@ -28,6 +29,7 @@ from rosterank.llm.common import columns, held_out
 
 UNDETERMINED = "und"
 BITS = 15
+SAMPLE_BITS = 62
 MIXTURES = (
     "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>"
 )
@@ -101,17 +103,23 @@ class Model:
         return self.languages[top], float(min(1.0, whole[top])), names, [float(mix[int(i)]) for i in order]
 
 
-def train(documents: DataFrame, *, per_language: int = 1500, smoothing: float = 0.05) -> Model:
+def sample_bar(per_language: int, size: int) -> int:
+    """Hashes of SAMPLE_BITS bits below this draw about ``per_language`` of ``size`` rows; whole numbers, never 0."""
+    return max(1, min(1 << SAMPLE_BITS, (per_language << SAMPLE_BITS) // size))
+
+
+def train(documents: DataFrame, *, per_language: int = 1500, languages: int = 256, smoothing: float = 0.05) -> Model:
     """Trigram likelihoods per language from rows (text, lang) of a bounded sample."""
     docs = columns(documents, doc_id="long", text="string", lang="string")
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    frequent = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    sizes = {r["lang"]: r["count"] for r in frequent.collect()}
     names = sorted(sizes)
     if not names:
         return Model([], np.empty((1 << BITS, 0)))
-    million = 1_000_000
-    bar = F.create_map(*[F.lit(v) for k in names for v in (k, int(min(1.0, per_language / sizes[k]) * million))])
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(million)) < bar[F.col("lang")])
+    bars = [F.lit(v) for k in names for v in (k, sample_bar(per_language, sizes[k]))]
+    bar = F.create_map(*[b.cast("long") if n % 2 else b for n, b in enumerate(bars)])
+    drawn = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - SAMPLE_BITS) < F.try_element_at(bar, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, found = letter_table(), {}
