@@ -10,14 +10,16 @@ their strings, cut into cells by leading bits (about ``CELL`` vectors each). A q
 * It stops when the neighbours found make it likely that no better one is left: a vector as near as the current last
   neighbour shares a bit with the query with probability p = 1 - angle / pi, and so has escaped all trees with
   probability prod(1 - p ** level). A tree's level is the shortest prefix that all its blocks have been searched to. At
-  the top of the trees the search is exact, so no query is left without an answer.
+  the top of the trees the search is exact, so no query is left without an answer. A ``target`` above 1 is never
+  reached: then every query goes up to the top, and the whole result is exact.
 
 Cells that hold more than ``CELL_MOST`` vectors (copies, dense groups) are split over blocks that a query visits one by
 one. No planes are learned; every vector is in every tree.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, as queries or candidates;
 a vector is only compared with those of its length; rows with a query's own id are its own; rows without an id are
-neither; of equal rows one counts; fewer candidates give fewer ranks; an empty table gives no rows.
+neither; of equal rows one counts, and rows of one id with different vectors give one neighbour, by the nearest; equal
+cosines go to the smaller id; extra columns are left behind; fewer candidates give fewer ranks; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,11 +99,16 @@ def plant(vectors: DataFrame, depth: int, seed: int) -> DataFrame:
 
 
 def _top(query: np.ndarray, own: int, ids: np.ndarray, vecs: np.ndarray, rough: np.ndarray, k: int) -> tuple[list[int], list[float]]:
-    """The k nearest of the candidates; copies tie exactly and go by id."""
+    """The k nearest ids of the candidates; copies tie exactly and go by id, rows of one id count by the nearest."""
     use = np.flatnonzero(ids != own)
-    if len(use) > k:
-        bar = np.partition(rough[use], len(use) - k)[len(use) - k] - 1e-9
-        use = use[rough[use] >= bar]
+    most = k
+    while most < len(use):
+        bar = np.partition(rough[use], len(use) - most)[len(use) - most] - 1e-9
+        some = use[rough[use] >= bar]
+        if len(np.unique(ids[some])) >= k:
+            use = some
+            break
+        most = max(4 * most, len(some) + 1)
     some = vecs[use]
     score = (some * query).sum(1) / (np.sqrt((some * some).sum(1)) * math.sqrt(float((query * query).sum())))
     order = np.lexsort((ids[use], -score))
