@@ -34,6 +34,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bound on the keys that ``join_hot`` broadcasts, and the rows below which no key is hot.
+HOT, HOT_LEAST = 1 << 16, 1000
+
+
+def join_hot(facts: DataFrame, lookup: DataFrame, on: str | list[str]) -> DataFrame:
+    """Inner join of written ``facts`` to ``lookup``, which has one row per key and the number of its facts in ``times``.
+
+    Keys that hold more than 1 in ``HOT`` of all facts meet them by broadcast: there are fewer than ``HOT`` of them,
+    whatever the data, because the numbers sum to the facts at most. All other keys are shuffled and hold at most that share.
+    """
+    keys = [on] if isinstance(on, str) else on
+    bar = F.lit(max(HOT_LEAST, facts.count() // HOT))
+    hot = F.broadcast(lookup.where(F.col("times") > bar).drop("times"))
+    cold = lookup.where(F.col("times") <= bar).drop("times")
+    others = facts.join(hot.select(*keys), keys, "left_anti")  # before the shuffle
+    return facts.join(hot, keys).unionByName(others.join(cold.hint("merge"), keys))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of stages whose results are written: a size-neutral housekeeping."""
     gc.collect()

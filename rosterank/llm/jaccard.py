@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterank.llm.blocks import _FACTORS, Words, by_bucket
-from rosterank.llm.common import buckets_for, release, stage
+from rosterank.llm.common import buckets_for, join_hot, release, stage
 from rosterank.llm.components import components
-from rosterank.llm.ordered import Texts, exchange, groups_of, mix, ordered_batches, send
+from rosterank.llm.ordered import ROW_BITS, Texts, exchange, groups_of, mix, ordered_batches, send
 
-SETS = "batch int, idx int, doc_id long, n int, sig0 long, sig1 long"
+SETS = "batch long, idx int, doc_id long, n int, sig0 long, sig1 long"
 CLASSES = "node long, n int, c int, central double, grams array<long>, places array<long>"
-_SETS = pa.schema([("batch", pa.int32()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig0", pa.int64()), ("sig1", pa.int64())])
+_SETS = pa.schema([("batch", pa.int64()), ("idx", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("sig0", pa.int64()), ("sig1", pa.int64())])
 _CLASSES = pa.schema(
     [("node", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("central", pa.float64()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))]
 )
@@ -81,7 +81,7 @@ def _sets(size: int):
             bounds = np.searchsorted(doc, np.arange(total + 1))
             sums.append((value[bounds[1:]] - value[bounds[:-1]]).view(np.int64))
         n = np.bincount(doc, minlength=total).astype(np.int32)
-        batch = np.full(total, table.column("batch")[0].as_py(), np.int32)
+        batch = np.full(total, table.column("batch")[0].as_py(), np.int64)
         arrays = [pa.array(batch), pa.array(np.arange(total, dtype=np.int32)), pa.array(texts.ids, pa.int64()), pa.array(n), *map(pa.array, sums)]
         return pa.Table.from_arrays(arrays, schema=_SETS)
 
@@ -182,7 +182,7 @@ def _classes(size: int, buckets: int, percent: int):
         out = []
         for r, n, a, b in zip(rows.tolist(), sizes.tolist(), low.tolist(), high.tolist(), strict=True):
             if 100 * (b - a) >= percent * n:
-                out.append(((batch << 32) | r, n, b - a, float(times[a:b].sum()) / n, hashed[a:b].view(np.int64), place[a:b]))
+                out.append(((batch << ROW_BITS) | r, n, b - a, float(times[a:b].sum()) / n, hashed[a:b].view(np.int64), place[a:b]))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 6, _CLASSES, strict=True)], schema=_CLASSES)
 
     return work
@@ -203,9 +203,8 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
     """(doc_id, n_shingles, component_id), one row per document; a link is 100 * overlap >= percent * union."""
     batches, length = ordered_batches(documents)
     found = labelled(batches, length, size=size, percent=percent, fragments=fragments)
-    ids = found.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = found.join(ids, "label", "left")
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # texts are numbered in order of their ids, so the label's own id is the smallest of the component
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(documents: DataFrame, *, size: int = 5, percent: int = 80, fragments: int = 16) -> DataFrame:
@@ -227,12 +226,15 @@ def deduplicate(documents: DataFrame, *, size: int = 5, percent: int = 80, fragm
 
 
 def labelled(batches: DataFrame, length: int, *, size: int, percent: int, fragments: int) -> DataFrame:
-    """(batch, idx, doc_id, n, label): equal labels are components; an empty set has none."""
+    """(batch, idx, doc_id, n, label, first_id): equal labels are components; an empty set has none.
+
+    ``first_id`` is the id of the text that the label numbers.
+    """
     spark = batches.sparkSession
     release(spark)
     sets = stage(batches.groupBy("batch").applyInArrow(_sets(size), SETS), "sets")
     alike = stage(
-        sets.where("n > 0").groupBy("n", "sig0", "sig1").agg(F.min(F.struct("batch", "idx")).alias("stands")),
+        sets.where("n > 0").groupBy("n", "sig0", "sig1").agg(F.min(F.struct("batch", "idx", "doc_id")).alias("stands"), F.count(F.lit(1)).alias("times")),
         "classes",
     )
     # a batch is bounded, and so is its list: one element per document at most
@@ -260,23 +262,24 @@ def labelled(batches: DataFrame, length: int, *, size: int, percent: int, fragme
     widths = F.array(*[(F.col("cut")[k + 1] - F.col("cut")[k]) for k in range(len(pivots) + 1)])
     room = F.col("c") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     heads = stage(cut.select("node", "n", "c", "central", widths.alias("widths"), F.slice("grams", 1, room).alias("head")), "heads")
-    rows = heads.select("node", "n", "c", "central", F.explode("head").alias("gram"))
 
     # every class with the most central class that its prefix meets
+    rows = stage(heads.select("node", "n", "c", "central", F.explode("head").alias("gram")), "prefixes")
     lead = rows.groupBy("gram").agg(F.min(F.struct((-F.col("central")).alias("rank"), "node", "n", "c")).alias("lead"), F.count(F.lit(1)).alias("times"))
-    best = rows.join(lead.where("times > 1"), "gram").groupBy("node", "n", "c").agg(F.min("lead").alias("lead"))
+    lead = stage(lead.where("times > 1"), "leads")
+    best = join_hot(rows, lead, "gram").groupBy("node", "n", "c").agg(F.min("lead").alias("lead"))
     first = best.where(F.col("lead.node") != F.col("node")).select(
         F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.least("c", "lead.c").alias("most")
     )
     first = stage(first.where((100 + percent) * F.col("most") >= percent * (F.col("na") + F.col("nb"))), "pairs")
     linked = stage(_links(first, segments, percent), "links")
-    labels = components(linked) if not linked.isEmpty() else _no_labels(linked)
+    labels = components(linked)
 
     # all other pairs of one prefix list, unless the widths of their fragments rule them out
-    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = stage(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "prefixes")
     mixed = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("times"))
-    mixed = mixed.where("low <> high").select("gram", F.ceil(F.col("times") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = named.join(mixed, "gram").join(heads.select("node", "widths"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    mixed = mixed.where("low <> high").select("gram", F.ceil(F.col("times") / BLOCK_ROWS).cast("int").alias("blocks"), "times")
+    dealt = join_hot(named, stage(mixed, "lists"), "gram").join(heads.select("node", "widths"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     everyone = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     left = dealt.select("gram", F.col("own").alias("i"), everyone, F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("label").alias("la"), F.col("widths").alias("wa"))
     right = dealt.select("gram", F.col("own").alias("other"), everyone.alias("i"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("label").alias("lb"), F.col("widths").alias("wb"))
@@ -284,24 +287,28 @@ def labelled(batches: DataFrame, length: int, *, size: int, percent: int, fragme
     enough = lambda most: (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
     meet = left.join(right, ["gram", "i", "other"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & enough(F.least("ca", "cb")) & enough(least))
     rest = stage(meet.select("a", "b", "na", "nb").distinct(), "pairs")
-    every = linked.union(_links(rest, segments, percent))
-    labels = components(every)
+    more = stage(_links(rest, segments, percent), "links")
+    if not more.isEmpty():
+        labels = components(linked.union(more))
     release(spark)
 
-    node = F.shiftleft(F.col("stands.batch").cast("long"), 32) + F.col("stands.idx")
-    whole = alike.withColumn("node", node).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = whole.select("n", "sig0", "sig1", "label")
-    return stage(sets.join(named, ["n", "sig0", "sig1"], "left").select("batch", "idx", "doc_id", "n", "label"), "labelled")
+    node = F.shiftleft(F.col("stands.batch"), ROW_BITS) + F.col("stands.idx")
+    stands = alike.withColumn("node", node).withColumn("own_id", F.col("stands.doc_id"))
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("times"))
+    roots = stage(counts.join(stands.select(F.col("node").alias("label"), F.col("own_id").alias("root_id")), "label"), "roots")
+    rooted = join_hot(labels, roots, "label")
+    whole = stands.join(rooted, "node", "left").select(
+        "n", "sig0", "sig1", F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("own_id")).otherwise(F.col("root_id")).alias("first_id"), "times"
+    )
+    named = join_hot(sets, stage(whole, "whole"), ["n", "sig0", "sig1"]).select("batch", "idx", "doc_id", "n", "label", "first_id")
+    empty = sets.where("n = 0").select("batch", "idx", "doc_id", "n", F.lit(None).cast("long").alias("label"), F.lit(None).cast("long").alias("first_id"))
+    return stage(named.unionByName(empty), "labelled")
 
 
 def _below(pivot: int):
     return F.size(F.filter("places", lambda p: p < pivot))
 
 
-def _no_labels(links: DataFrame) -> DataFrame:
-    return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-
-
 def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of (a, b, na, nb) that are linked."""
     counted = overlaps(pairs.select("a", "b"), segments).join(pairs, ["a", "b"])

@@ -19,33 +19,58 @@ from pyspark.sql import functions as F
 
 from rosterank.llm.common import shared_dir, shuffle_partitions
 
-SENT, RETURNED = "bucket int, batch int, data binary", "batch int, data binary"
-_SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("data", pa.binary())])
-_RETURNED = pa.schema([("batch", pa.int32()), ("data", pa.binary())])
+SENT, RETURNED = "bucket int, batch long, data binary", "batch long, data binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("data", pa.binary())])
+_RETURNED = pa.schema([("batch", pa.int64()), ("data", pa.binary())])
+
+
+#: Bytes that one task cuts into batches, and what a row counts besides its text.
+RANGE_BYTES, ROW_BYTES = 64 << 20, 64
+#: Bits of a batch's number within its range, and of a row's number within its batch (batches of 64 MB at most fit).
+BATCH_BITS, ROW_BITS = 22, 20
+
+
+def cut_batches(batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Number the sorted rows of a range by running bytes: a batch has ``batch_bytes`` at most, or one longer text."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, filled = -1, 0
+        for part in parts:
+            at, numbers = part.schema.get_field_index("batch"), []
+            for size in part.column("size").to_pylist():
+                if number < 0 or filled + size + ROW_BYTES > batch_bytes:
+                    number, filled = number + 1, 0
+                filled += size + ROW_BYTES
+                numbers.append(number)
+            named = pa.array((part.column(at).to_numpy() << BATCH_BITS) | np.array(numbers, np.int64), pa.int64())
+            yield part.set_column(at, part.schema.field(at), named).drop_columns(["size"])
+
+    return work
 
 
 def ordered_batches(documents: DataFrame, *, batch_bytes: int = 4 << 20, whole_rows: bool = False) -> tuple[DataFrame, int]:
     """(batch, doc_id, tie, text) as a written table, and the bytes of all texts; with ``row``, the rest of the document, on request.
 
-    The order is by id, rows without one last; rows that share an id (or have none) are ordered by a hash of their text,
-    so a null or repeated id that many rows share is dealt to many batches. A null text is empty.
+    The order is by id, rows without one last; rows that share an id (or have none) are ordered by a hash of their text, and
+    equal rows are dealt out as they come. So ranges split any number of equal rows, and every batch is bounded in bytes
+    (of texts and rows), whatever the lengths.
     """
     spark = documents.sparkSession
     rest = [F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("row")] if whole_rows else []
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = shuffle_partitions(spark)
-    batches = int(max(2 * buckets, -(-size // batch_bytes)))
-    ranged = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(batches, F.col("doc_id").asc_nulls_last(), "tie")
+    ranges = int(max(2 * buckets, -(-size // RANGE_BYTES)))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("turn")]
+    ranged = docs.withColumn("tie", F.xxhash64("text")).withColumn("turn", F.monotonically_increasing_id())
+    ranged = ranged.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    parts = ranged.select(F.spark_partition_id().cast("long").alias("batch"), "doc_id", "tie", *docs.columns[1:], F.octet_length("text").alias("size"))
+    cut = parts.mapInArrow(cut_batches(batch_bytes), parts.drop("size").schema)
     name = f"batches_{uuid.uuid4().hex}"
-    (
-        ranged.select(F.spark_partition_id().alias("batch"), "doc_id", "tie", *docs.columns[1:])
-        .write.option("path", shared_dir(spark, "batches"))
-        .option("compression", "zstd")
-        .bucketBy(buckets, "batch")
-        .saveAsTable(name)
-    )
-    return spark.table(name), size
+    cut.write.option("path", shared_dir(spark, "batches")).option("compression", "zstd").bucketBy(buckets, "batch").saveAsTable(name)
+    batches = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and what was read of the catalog is enough
+    return batches, size
 
 
 class Texts:

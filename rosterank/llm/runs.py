@@ -11,8 +11,8 @@ A hash that a run holds was seen in an earlier batch, so the batch's lines with
 id of the batch that holds it. Only hashes that cost some document a line meet the lines again, to name the line numbers,
 and only these numbers meet the texts. Hashes are 96 bits.
 
-Hot lines: batches combine equal hashes before the shuffle. Hashes with more than 1 in ``HOT`` of all lines (so fewer than
-``HOT`` of them, whatever the data) meet their lines by broadcast; the lines of any other hash are at most that share.
+Hot lines: batches combine equal hashes before the shuffle, and hashes of very many lines meet them by a bounded broadcast
+(``join_hot``).
 
 Only DataFrame functions are used. Written tables under ``spark.checkpoint.dir`` separate the steps; the catalog entries of
 the runs are dropped at the end.
@@ -29,13 +29,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterank.llm.common import buckets_for, columns, shared_dir, stage
+from rosterank.llm.common import buckets_for, columns, join_hot, shared_dir, stage
 
 #: Characters stripped from both ends of a line: blank and 9 to 13 (fixed values of the contract).
 SPACES = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bound on the hashes that are broadcast, and the lines below which no hash is hot.
-HOT, HOT_LEAST = 1 << 16, 1000
 #: Bytes of a hash with its counts.
 _KEY_BYTES = 40
 
@@ -120,13 +118,13 @@ class Runs:
 
 
 def lost_lines(lines: DataFrame, *, batches: int, fanout: int) -> DataFrame:
-    """(batch, h, g, seen, first, n): hashes by which a batch's documents lose lines, staged.
+    """(batch, h, g, seen, first, times): hashes by which a batch's documents lose lines, staged.
 
     ``seen`` ones are in an earlier batch; of the others the document ``first`` keeps its lines.
     """
     spark = lines.sparkSession
     runs = Runs(spark, buckets_for(spark, lines.count() * _KEY_BYTES), fanout)
-    grouped = lines.groupBy("batch", "h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    grouped = lines.groupBy("batch", "h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("times"))
     found = None
     try:
         table = spark.table(runs.write(grouped.repartition(runs.buckets, "h", "g"), "hashes", "batch"))
@@ -135,14 +133,14 @@ def lost_lines(lines: DataFrame, *, batches: int, fanout: int) -> DataFrame:
             new = runs.add(runs.unseen(own.select("h", "g")))
             held = own.join(new.withColumn("new", F.lit(True)).hint("merge"), ["h", "g"], "left")
             lost = held.where("new IS NULL OR first < last").select(
-                F.lit(batch).alias("batch"), "h", "g", F.col("new").isNull().alias("seen"), "first", "n"
+                F.lit(batch).alias("batch"), "h", "g", F.col("new").isNull().alias("seen"), "first", "times"
             )
             lost = stage(lost, "lost")
             found = lost if found is None else found.unionByName(lost)
     finally:
         runs.drop()
     if found is None:
-        return spark.createDataFrame([], "batch int, h long, g int, seen boolean, first long, n long")
+        return spark.createDataFrame([], "batch int, h long, g int, seen boolean, first long, times long")
     return found
 
 
@@ -153,13 +151,8 @@ def remove_lines(documents: DataFrame, *, least: int = 10, batches: int = 8, fan
     """
     lines = hashed_lines(documents, batches=batches, least=least)
     lost = lost_lines(lines, batches=batches, fanout=fanout)
-    bar = F.lit(max(HOT_LEAST, lines.count() // HOT))
-    keys = ["batch", "h", "g"]
-    hot = F.broadcast(lost.where(F.col("n") > bar))  # fewer than HOT rows: the counts sum to the lines at most
-    cold = lost.where(F.col("n") <= bar)
     goes = F.col("seen") | F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    others = lines.join(hot.select(*keys), keys, "left_anti")  # before the shuffle
-    met = lines.join(hot, keys).unionByName(others.join(cold.hint("merge"), keys)).where(goes)
+    met = join_hot(lines, lost, ["batch", "h", "g"]).where(goes)
     gone = stage(met.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("gone")), "gone")  # one text's lines at most
 
     docs = _texts(documents)

@@ -1,5 +1,7 @@
 """op3, op5 and op6: gradients, held-out accuracy, recall against brute force; the pipeline on a small fixture."""
 
+import itertools
+import math
 import random
 import zlib
 
@@ -7,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterank.llm import components, forest, langid, toxicity
+from rosterank.llm import common, components, forest, langid, toxicity
 from tests.llm.data import DOCUMENTS, documents, prose
 
 BAD = ["idiot", "scum", "loser", "trash"]
@@ -185,6 +187,106 @@ def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(components.components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+    assert components.components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+
+
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch):
+    """A chain numbered 0, n, ..., 1, one numbered at random, and stars; all in one graph, some keys hot."""
+    monkeypatch.setattr(common, "HOT_LEAST", 500)
+    n = 5000
+    falling = [0, *range(n - 1, 0, -1)]
+    mixed = (np.random.default_rng(4).permutation(n) + 10_000).tolist()
+    links = [*zip(falling, falling[1:]), *zip(mixed, mixed[1:])]  # noqa: B905
+    links += [(25_000, 20_000 + i) for i in range(4000)] + [(30_000 + i, 30_000) for i in range(1, 3000)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = dict(components.components(df).collect())
+    want = {**dict.fromkeys(falling, 0), **dict.fromkeys(mixed, 10_000), **dict.fromkeys([25_000, *range(20_000, 24_000)], 20_000)}
+    assert got == {**want, **dict.fromkeys(range(30_000, 33_000), 30_000)}
+    rounds = components.contractions(df)
+    sizes = [r.count() for r in rounds]
+    assert len(rounds) <= 2.5 * np.log2(n) and all(b < a for a, b in zip(sizes, sizes[1:]))  # noqa: B905
+
+
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(9)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))]
+    label = list(range(400))
+    for a, b in links:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = [new if x == old else x for x in label]
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {i: label[i] for i in {x for a, b in links if a != b for x in (a, b)}}
+
+
+def test_sample_bars_of_any_size():
+    top = 1 << langid.SAMPLE_BITS
+    assert langid.sample_bar(1500, 10) == top and langid.sample_bar(1500, 1500) == top
+    for size in (3000, 10**6, 2 * 10**9, 10**12, 10**15):
+        share = langid.sample_bar(1500, size) / top
+        assert abs(share * size - 1500) < 1
+
+
+def test_languages_are_bounded(spark):
+    rows = [(3 * i, prose(i, 30), "abc"[min(i % 4, 2)]) for i in range(60)] + [(1000 + i, "zz", f"stray{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs, languages=3).languages == ["a", "b", "c"]
+    assert len(langid.train(docs).languages) > 20
+
+
+def plain_mixture(chance, grams, among, rounds=20):
+    """Expectation-maximisation word for word: (shares, log-likelihood)."""
+    shares = [1 / len(among)] * len(among)
+    for _ in range(rounds if len(among) > 1 else 0):
+        new = [0.0] * len(among)
+        for g in grams:
+            each = [shares[k] * chance[g][lang] for k, lang in enumerate(among)]
+            for k, e in enumerate(each):
+                new[k] += e / sum(each) / len(grams)
+        done = max(abs(a - b) for a, b in zip(new, shares, strict=True)) < 1e-4
+        shares = new
+        if done:
+            break
+    return shares, sum(math.log(sum(shares[k] * chance[g][lang] for k, lang in enumerate(among))) for g in grams)
+
+
+def test_mixtures_against_plain_expectation_maximisation():
+    rng = np.random.default_rng(12)
+    chance = rng.dirichlet(np.full(300, 0.05), 4).T + 1e-6
+    chance /= chance.sum(0)
+    model = langid.Model(list("wxyz"), chance)
+    for parts in ((200, 0, 0, 0), (150, 60, 0, 0), (0, 90, 0, 110), (80, 0, 70, 90), (300, 0, 9, 0), (0, 0, 4, 0)):
+        grams = np.concatenate([rng.choice(300, n, p=chance[:, k]) for k, n in enumerate(parts)])
+        unique, times = np.unique(grams, return_counts=True)
+        best = None
+        for size in range(1, 5):
+            for among in itertools.combinations(range(4), size):
+                shares, likely = plain_mixture(chance, grams.tolist(), among)
+                got, value = model.shares(unique, times.astype(float), np.array(among))
+                assert np.allclose(got, shares, atol=1e-9) and abs(value - likely) < 1e-6
+                gain = likely - (size - 1) * 3.0 * math.log(len(grams) + 1)
+                if best is None or gain > best[0]:
+                    best = gain, among, shares
+        lang, score, names, _ = model.predict(grams.astype(np.uint32), 3.0)
+        assert set(names) == {"wxyz"[k] for k in best[1]}  # of all sets the one of the largest penalised likelihood
+        assert lang == names[0] == "wxyz"[best[1][int(np.argmax(best[2]))]]
+        assert 0 < score <= 1
+
+
+def test_repeated_ids_do_not_take_places(spark):
+    """One id on a dozen near vectors: it is one neighbour, and the others follow."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(16)
+    near = [(7, (base + 0.001 * rng.standard_normal(16)).tolist()) for _ in range(12)]
+    rows = [(0, base.tolist()), *near, *[(100 + i, rng.standard_normal(16).tolist()) for i in range(40)]]
+    table = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, rank int")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in forest.nearest(table, F.col("vec_id") == 0).collect())
+    cosine = lambda v: float(np.dot(v, base) / np.linalg.norm(v) / np.linalg.norm(base))
+    best: dict = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -2.0), cosine(np.array(v)))
+    want = sorted(best, key=lambda i: (-best[i], i))[:5]
+    assert [v for _, v, _ in got] == want and want[0] == 7
+    assert np.allclose([s for *_, s in got], [best[i] for i in want])
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from rosterank.llm import blocks, jaccard, suffixes
-from rosterank.llm.ordered import Texts
+from rosterank.llm.ordered import Texts, ordered_batches
 from tests.llm.data import DOCUMENTS, documents, near, prose
 
 
@@ -161,3 +161,28 @@ def test_hot_anchors_spread_over_tasks(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in got) == sorted(brute_bytes(rows))
     assert sum(r["n_removed"] > 0 for r in got) >= 150
     assert max(sizes[1]) < 0.5 * sum(sizes[1])
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Long texts among short ones, and thousands of equal rows without an id: every batch stays small, order holds."""
+    rows = [(i, "x" * (20_000 if i >= 1800 else 40)) for i in range(2000)] + [(None, "same text " * 200)] * 3000 + [(5000, "y" * 700_000)]
+    batches, size = ordered_batches(documents(spark, rows), batch_bytes=250_000)
+    assert size == sum(len(t) for _, t in rows)
+    found = batches.selectExpr("batch", "doc_id", "length(text) AS n").collect()
+    assert Counter((r["doc_id"], r["n"]) for r in found) == Counter((i, len(t)) for i, t in rows)
+    filled: dict = {}
+    for r in found:
+        filled.setdefault(r["batch"], []).append((r["doc_id"] is None, r["doc_id"] or 0, r["n"]))
+    assert max(sum(n for *_, n in b) for b in filled.values() if len(b) > 1) <= 250_000
+    ends = [(min(b)[:2], max(b)[:2]) for _, b in sorted(filled.items())]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("batches_")]
+
+
+def test_a_chain_of_shifted_documents(spark):
+    """71 documents, each shifted by 10 of 104 words: neighbours are linked, and all are one component."""
+    words = prose(77, 104 + 700).split()
+    rows = [(500 - i, " ".join(words[10 * i : 10 * i + 104])) for i in range(71)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(documents(spark, rows)).collect()}
+    want, _ = brute_components(rows)
+    assert got == {i: c for i, _, c in want} and set(got.values()) == {430}

@@ -7,7 +7,7 @@ from itertools import permutations
 
 import pytest
 
-from rosterank.llm import interactions, rotation, runs
+from rosterank.llm import common, interactions, rotation, runs
 from tests.llm.data import DOCUMENTS, documents, prose
 
 UNITS = re.compile("[A-Za-z]+|[^A-Za-z]", re.S)
@@ -171,7 +171,7 @@ def brute_lines(rows, least=10):
 
 @pytest.mark.parametrize(("batches", "fanout", "hot"), [(8, 4, 1000), (5, 2, 3), (1, 2, 0)])
 def test_lines_against_brute_force(spark, monkeypatch, batches, fanout, hot):
-    monkeypatch.setattr(runs, "HOT_LEAST", hot)  # more and fewer hashes go by broadcast
+    monkeypatch.setattr(common, "HOT_LEAST", hot)  # more and fewer hashes go by broadcast
     got = runs.remove_lines(documents(spark, LINED), batches=batches, fanout=fanout)
     assert Counter(map(tuple, got.collect())) == brute_lines(LINED)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(("run_", "hashes_"))]
