@@ -156,6 +156,23 @@ def region_jds_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nation_jds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One description per nation; with the smaller tables some have less than a pool of located profiles."""
+    n = F.col("n_nationkey")
+    parts = [pick(phrases.NATION_YEARS, n), pick(phrases.NATION_PLACES, F.floor(n / 5)), pick(phrases.NATION_TERMS, n)]
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("JD_"), "n_name").alias("jd_id"), F.concat_ws(" ", *parts).alias("text")
+    )
+
+
+def nation_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(jd_id, embedding): the embedding with the nation's key."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    nation = table(spark, sf_dir, "nation")
+    rows = nation.join(vectors, F.col("n_nationkey") == F.col("vec_id"))
+    return rows.select(F.concat(F.lit("JD_"), "n_name").alias("jd_id"), "embedding")
+
+
 def document_jds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whole, as a description between an opening and a closing line."""
     return spread(table(spark, sf_dir, "documents")).select(

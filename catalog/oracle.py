@@ -122,6 +122,9 @@ traps AS (
 # ---------------------------------------------------------------------------------------------------
 REGION_JD = f"""
 jd AS (SELECT 'JD_' || r_name AS jd_id, {pick(phrases.REGION_JDS, "r_regionkey")} AS text FROM region)"""
+NATION_JD = f"""
+jd AS (SELECT 'JD_' || n_name AS jd_id, {pick(phrases.NATION_YEARS, "n_nationkey")} || ' ' ||
+  {pick(phrases.NATION_PLACES, "n_nationkey // 5")} || ' ' || {pick(phrases.NATION_TERMS, "n_nationkey")} AS text FROM nation)"""
 DOCUMENT_JD = f"""
 jd AS (SELECT CAST(doc_id AS VARCHAR) AS jd_id, {pick(phrases.JD_OPENINGS, "doc_id")} || chr(10) || text || chr(10)
   || {pick(phrases.JD_CLOSINGS, "doc_id // 3")} AS text FROM documents)"""
@@ -270,10 +273,14 @@ skill_scores AS (
 # ---------------------------------------------------------------------------------------------------
 # text similarity: reads text_pool(jd_id, text_id, text) and jd(jd_id, text)
 # ---------------------------------------------------------------------------------------------------
-POOL_TEXT = """
+SUMMARY = """
+  UNION ALL SELECT k, 1, text FROM base JOIN documents ON k % (SELECT count(*) FROM documents) = doc_id"""
+
+
+def _pool_text(summary: str) -> str:
+    return f"""
 profile_part AS (
-  SELECT k, 0 AS ord, headline AS part FROM cand
-  UNION ALL SELECT k, 1, text FROM base JOIN documents ON k % (SELECT count(*) FROM documents) = doc_id
+  SELECT k, 0 AS ord, headline AS part FROM cand{summary}
   UNION ALL SELECT k, 10 + 2 * i, title FROM career
   UNION ALL SELECT k, 11 + 2 * i, description FROM career
   UNION ALL SELECT k, 1000 + i, name FROM skills),
@@ -282,11 +289,13 @@ text_pool AS (
     SELECT k, string_agg(part, ' ' ORDER BY ord) AS text FROM profile_part
     WHERE part <> '' AND k IN (SELECT k FROM pool) GROUP BY k) USING (k))"""
 
-TFIDF = rf"""
+
+POOL_TEXT = _pool_text(SUMMARY)
+COSINES = r"""
 text_token AS (
-  SELECT text_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}_]{{2,}}') AS t
+  SELECT text_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS t
   FROM (SELECT DISTINCT text_id, text FROM text_pool)),
-jd_token AS (SELECT jd_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM jd),
+jd_token AS (SELECT jd_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]{2,}') AS t FROM jd),
 text_tf AS MATERIALIZED (
   SELECT text_id, term, count(*) AS tf FROM (
     SELECT text_id, unnest(t) AS term FROM text_token
@@ -315,12 +324,19 @@ dots AS (
     FROM text_pool JOIN text_tf USING (text_id) JOIN terms USING (jd_id, term)) GROUP BY jd_id, text_id),
 sims AS (
   SELECT jd_id, text_id, coalesce(CASE WHEN tn * jn > 0 THEN dot / (tn * jn) END, 0e0) AS sim
-  FROM text_pool LEFT JOIN dots USING (jd_id, text_id) LEFT JOIN jd_norm USING (jd_id)),
+  FROM text_pool LEFT JOIN dots USING (jd_id, text_id) LEFT JOIN jd_norm USING (jd_id))"""
+
+# divided by the pool's best, and as they are under a fixed vocabulary
+TFIDF = f"""{COSINES},
 shares AS (
   SELECT jd_id, text_id, sim, least(greatest(sim / CASE WHEN mx > 0 THEN mx ELSE 1e0 END, 0e0), 1e0) AS share
   FROM (SELECT *, max(sim) OVER (PARTITION BY jd_id) AS mx FROM sims)),
 semantics AS (SELECT jd_id, text_id, {rounded("share", 4)} AS semantic FROM shares)"""
 
+FIXED = f"""{COSINES},
+shares AS (SELECT jd_id, text_id, least(greatest(sim, 0e0), 1e0) AS share FROM sims),
+semantics AS (SELECT jd_id, text_id, {rounded("share", 4)} AS semantic FROM shares)"""
+
 COMPOSITE = f"""
 score_raw AS (
   SELECT jd_id, k, candidate_id, skill, behavior, semantic, experience, seniority, least(greatest(
@@ -404,6 +420,7 @@ PROFILE = (BASE, TRAPS)
 REGION = (REGION_JD, JD_FEATURES)
 DOCUMENT = (DOCUMENT_JD, JD_FEATURES)
 STAGE1 = (*PROFILE, *REGION, GATED)
+NATIONS = (*PROFILE, NATION_JD, JD_FEATURES, GATED)
 STAGE2 = (*STAGE1, SKILL, BEHAVIOR, POOL_TEXT, TFIDF, COMPOSITE)
 
 PAIRED_JD = "jd AS (SELECT CAST(item_id AS VARCHAR) AS jd_id, text FROM benchmark)"
@@ -413,13 +430,19 @@ text_pool AS (SELECT CAST(item_id AS VARCHAR) AS jd_id, doc_id AS text_id, docum
 
 VECTOR_COSINE = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
-DENSE_POOL = f"""
+
+
+def _dense_pool(table: str, name: str, key: str) -> str:
+    return f"""
 vec_pool AS (
   SELECT pool.jd_id, k, greatest({VECTOR_COSINE.format(a="a.embedding", b="b.embedding")}, 0e0) AS share FROM pool
   JOIN embeddings a ON k % (SELECT count(*) FROM embeddings) = a.vec_id
-  JOIN region ON pool.jd_id = 'JD_' || r_name JOIN embeddings b ON b.vec_id = r_regionkey),
+  JOIN {table} ON pool.jd_id = 'JD_' || {name} JOIN embeddings b ON b.vec_id = {key}),
 semantics AS (SELECT jd_id, k AS text_id, {rounded("share", 4)} AS semantic FROM vec_pool)"""
 
+
+DENSE_POOL = _dense_pool("region", "r_name", "r_regionkey")
+
 RANKING_ROWS = """
 raw_rows AS (
   SELECT 'file_' || (o_orderkey // 100) AS file, o_orderkey % 100 + 2 AS row_num,
@@ -570,6 +593,19 @@ FROM selected GROUP BY jd_id""",
         ),
         "output_violations": sql("SELECT * FROM found", RANKING_ROWS),
     }
+    oracles["nation_pool"] = sql("SELECT jd_id, candidate_id, relaxed FROM pool", *NATIONS)
+    oracles["stream_stage1"] = sql(
+        f"""SELECT jd_id, candidate_id, {EXPERIENCE} AS experience, {SENIORITY} AS seniority, behavior, skill, relaxed
+FROM pool JOIN skill_scores USING (jd_id, k) JOIN behaviors USING (k)""",
+        *NATIONS,
+        SKILL,
+        BEHAVIOR,
+    )
+    streamed = "SELECT jd_id, candidate_id, rank, score, relaxed FROM selected JOIN (SELECT jd_id, k, relaxed FROM pool) USING (jd_id, k)"
+    oracles["stream_ranking"] = sql(
+        streamed, *NATIONS, SKILL, BEHAVIOR, _dense_pool("nation", "n_name", "n_nationkey"), COMPOSITE
+    )
+    oracles["stream_tfidf_ranking"] = sql(streamed, *NATIONS, SKILL, BEHAVIOR, _pool_text(""), FIXED, COMPOSITE)
     oracles["json_roundtrip"] = sql(
         """SELECT format, candidate_id, yoe, title, CAST(CASE WHEN c % 17 = 0 THEN -1 ELSE c % 9 + 1 END AS INTEGER) AS n_skills,
   notice FROM cand JOIN base USING (k) CROSS JOIN (VALUES ('lines'), ('gzip')) f(format)""",

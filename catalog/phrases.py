@@ -51,6 +51,15 @@ PyTorch, evaluation, natural language processing, tokenizer work, gpt4 and llama
     """Gardener for a large park. Careful planting, pruning and planting of roses; tools are provided.""",
 ]
 
+# Parts of one description per nation: narrow and wide ranges of years, common and rare places.
+NATION_YEARS = [
+    "12 to 14 years of search work.", "13 to 13 years in ranking.", "14+ years.", "5-9 years of work on retrieval.", "Minimum 2 yrs.",
+]
+NATION_PLACES = ["Based in Kochi.", "Chennai or Kochi.", "Noida.", "Jaipur.", "Any place."]
+NATION_TERMS = [
+    "Embeddings, FAISS and Python in production.", "Kafka, Spark, SQL and gpt4.", "Semantic search, BM25, Pinecone, RAG and ranking.",
+]
+
 # Openings and closings put around every document to make it a description.
 JD_OPENINGS = [
     "We ask for 5-9 years.", "Needs 4+ years of practice.", "Minimum 3 years please.", "At least 2 yrs here.",

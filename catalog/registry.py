@@ -13,7 +13,7 @@ from catalog import adapter
 from catalog.adapter import AS_OF
 from rosterank.functions import scores
 from rosterank.operators.dense import dense_score, encode_texts
-from rosterank.operators.tfidf import tfidf_similarity
+from rosterank.operators.tfidf import fit_vocabulary, load_vocabulary, save_vocabulary, tfidf_similarity
 from rosterank.operators.topk import top_per_group
 from rosterank.plans import jobs, pool, quality, ranking
 from rosterank.sources.candidates import load_candidates
@@ -254,28 +254,55 @@ def file_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(number.alias("file"), "rule", detail.alias("detail"))
 
 
+def _nation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.extract_jd_features(adapter.nation_jds(spark, sf_dir))
+
+
+def nation_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pools of the nations' descriptions; those with few located profiles are relaxed."""
+    people = adapter.candidates(spark, sf_dir)
+    return pool.pool_pairs(pool.build_pool(people, _nation_features(spark, sf_dir), AS_OF))
+
+
+def _arriving(spark: SparkSession, people: DataFrame, *, embeddings: bool = False) -> DataFrame:
+    """The profiles as a stream of files, some per batch, so that pools grow from batch to batch."""
+    inbox = _fresh(spark, "inbox")
+    people.repartition(12).write.json(inbox)
+    return arrivals.read_arrivals(spark, inbox, embeddings=embeddings, files_per_batch=4)
+
+
 def stream_stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles arriving as JSON files, gated and scored as a stream."""
-    inbox, out = _fresh(spark, "inbox"), _fresh(spark, "scores")
-    adapter.candidates(spark, sf_dir).write.json(inbox)
-    features = stage(jobs.with_weight_levels(_features(spark, sf_dir)), "jd-levels")
-    scored = arrivals.score_arrivals(arrivals.read_arrivals(spark, inbox), features, AS_OF)
+    """Profiles arriving as JSON files, gated and scored as a stream; pools are settled when the scores are read."""
+    out = _fresh(spark, "scores")
+    features = stage(jobs.with_weight_levels(_nation_features(spark, sf_dir)), "jd-levels")
+    scored = arrivals.score_arrivals(_arriving(spark, adapter.candidates(spark, sf_dir)), features, AS_OF)
     arrivals.append_scores(scored, out, _fresh(spark, "stream-log")).awaitTermination()
-    return spark.read.schema(scored.schema).parquet(out)
+    return arrivals.settle(spark.read.schema(scored.schema).parquet(out))
 
 
 def stream_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense ranking kept up to date over arriving files, a few files per batch."""
-    inbox, store = _fresh(spark, "inbox"), _fresh(spark, "best")
-    adapter.candidates(spark, sf_dir, embeddings=True).write.json(inbox)
-    vectors = stage(adapter.region_jds_with_vectors(spark, sf_dir), "jd-vectors")
-    features = stage(
-        jobs.with_weight_levels(_features(spark, sf_dir)).join(vectors.select("jd_id", "embedding"), "jd_id"), "jd-levels"
+    vectors = stage(adapter.nation_vectors(spark, sf_dir), "jd-vectors")
+    features = stage(jobs.with_weight_levels(_nation_features(spark, sf_dir)).join(vectors, "jd_id"), "jd-levels")
+    store = _fresh(spark, "best")
+    stream = _arriving(spark, adapter.candidates(spark, sf_dir, embeddings=True), embeddings=True)
+    arrivals.refresh_ranking(stream, features, AS_OF, store, _fresh(spark, "stream-log")).awaitTermination()
+    return arrivals.latest_ranking(spark, store).select("jd_id", "candidate_id", "rank", "score", "relaxed")
+
+
+def stream_tfidf_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking by text over arriving files, under a vocabulary fitted on the pool and saved before."""
+    features = stage(jobs.with_weight_levels(_nation_features(spark, sf_dir)), "jd-levels")
+    people = adapter.candidates(spark, sf_dir)
+    texts = ranking.pool_texts(pool.build_pool(people, features, AS_OF))
+    saved, store = _fresh(spark, "vocabularies"), _fresh(spark, "best")
+    version = save_vocabulary(fit_vocabulary(texts, features.select("jd_id", "text")), saved)
+    scorer = arrivals.tfidf_scorer(features, load_vocabulary(spark, saved, version), AS_OF)
+    query = arrivals.refresh_ranking(
+        _arriving(spark, people), features, AS_OF, store, _fresh(spark, "stream-log"), scorer=scorer, basis=f"vocabulary {version}"
     )
-    stream = arrivals.read_arrivals(spark, inbox, embeddings=True, files_per_batch=4)
-    query = arrivals.refresh_ranking(stream, features, AS_OF, store, _fresh(spark, "stream-log"))
     query.awaitTermination()
-    return arrivals.latest_ranking(spark, store).select("jd_id", "candidate_id", "rank", "score")
+    return arrivals.latest_ranking(spark, store).select("jd_id", "candidate_id", "rank", "score", "relaxed")
 
 
 def all_queries() -> dict[str, Query]:
@@ -308,4 +335,6 @@ def all_queries() -> dict[str, Query]:
         "file_violations": file_violations,
         "stream_stage1": stream_stage1,
         "stream_ranking": stream_ranking,
+        "stream_tfidf_ranking": stream_tfidf_ranking,
+        "nation_pool": nation_pool,
     }

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rosterank import vocab
-from rosterank.functions.basics import contains_any, literal, lowered, text
+from rosterank.functions.basics import contains_any, literal, lowered, once, text
 
 
 def in_home_country(country: Column) -> Column:
@@ -21,16 +21,25 @@ def location_hits(location: Column, targets: Column) -> Column:
     return F.filter(targets, lambda t: F.contains(place, t))
 
 
-def passes_location(location: Column, country: Column, relocate: Column, targets: Column) -> Column:
-    """Relocators pass before any other test; a description without targets accepts every place."""
-    place = lowered(location)
-    return (
-        F.coalesce(relocate, F.lit(False))
-        | (F.size(targets) == 0)
-        | (in_home_country(country) & F.exists(targets, lambda t: F.contains(place, t)))
+def whereabouts(location: Column, country: Column, relocate: Column) -> Column:
+    """What the location gate sees of a profile, as one struct, so that many gates can share it."""
+    return F.struct(
+        lowered(location).alias("place"),
+        in_home_country(country).alias("home"),
+        F.coalesce(relocate, F.lit(False)).alias("moves"),
     )
 
 
+def within_reach(where: Column, targets: Column) -> Column:
+    """Relocators pass before any other test; a description without targets accepts every place."""
+    hit = F.exists(targets, lambda t: F.contains(where["place"], t))
+    return where["moves"] | (F.size(targets) == 0) | (where["home"] & hit)
+
+
+def passes_location(location: Column, country: Column, relocate: Column, targets: Column) -> Column:
+    return once(whereabouts(location, country, relocate), lambda where: within_reach(where, targets))
+
+
 def passes_experience(yoe: Column, exp_min: Column, exp_max: Column) -> Column:
     return F.coalesce(yoe, F.lit(0.0)).between(exp_min, exp_max)
 
@@ -54,24 +63,43 @@ def tenure_overflow(career: Column, yoe: Column) -> Column:
     return (years > 0) & (total_months(career) > allowed)
 
 
-def too_old_skill(skills: Column, as_of: dt.date) -> Column:
-    """Message about the first (skill, technology) pair used for longer than the technology exists."""
+def _ages(as_of: dt.date) -> Column:
     rows = [
         {"tech": tech, "born": born, "ceiling": (as_of.year - born - 1) * 12} for tech, born in vocab.TECH_BIRTH_YEARS
     ]
-    ages = literal(rows, "array<struct<tech:string,born:int,ceiling:bigint>>")
+    return literal(rows, "array<struct<tech:string,born:int,ceiling:bigint>>")
+
+
+def _dated(skills: Column) -> Column:
+    """Skills whose name holds a listed technology: one pattern test keeps the 27 comparisons to these."""
+    return F.filter(skills, lambda s: contains_any(lowered(s["name"]), [t for t, _ in vocab.TECH_BIRTH_YEARS]))
+
+
+def _claimed(skill: Column) -> Column:
+    return F.coalesce(skill["duration_months"], F.lit(0).cast("bigint"))
+
+
+def _outlives(skill: Column, age: Column) -> Column:
+    return (_claimed(skill) > age["ceiling"]) & F.contains(lowered(skill["name"]), age["tech"])
+
+
+def has_too_old_skill(skills: Column, as_of: dt.date) -> Column:
+    ages = _ages(as_of)
+    return F.coalesce(F.exists(_dated(skills), lambda s: F.exists(ages, lambda a: _outlives(s, a))), F.lit(False))
+
+
+def too_old_skill(skills: Column, as_of: dt.date) -> Column:
+    """Message about the first (skill, technology) pair used for longer than the technology exists."""
+    ages = _ages(as_of)
 
     def message(skill: Column) -> Column:
-        claimed = F.coalesce(skill["duration_months"], F.lit(0).cast("bigint"))
-        hits = F.filter(ages, lambda a: (claimed > a["ceiling"]) & F.contains(lowered(skill["name"]), a["tech"]))
+        hits = F.filter(ages, lambda a: _outlives(skill, a))
         return F.concat(
-            F.lit("'"), text(skill["name"]), F.lit("' claimed "), claimed.cast("string"),
+            F.lit("'"), text(skill["name"]), F.lit("' claimed "), _claimed(skill).cast("string"),
             F.lit("mo but only exists since "), F.get(hits, F.lit(0))["born"].cast("string"),
         )
 
-    # One pattern test per skill keeps the 27 comparisons to the names that hold a listed technology.
-    dated = F.filter(skills, lambda s: contains_any(lowered(s["name"]), [t for t, _ in vocab.TECH_BIRTH_YEARS]))
-    return F.get(F.filter(F.transform(dated, message), lambda m: m.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(_dated(skills), message), lambda m: m.isNotNull()), F.lit(0))
 
 
 def unused_expertise(skills: Column) -> Column:
@@ -107,6 +135,17 @@ def inflated_endorsements(skills: Column) -> Column:
     )
 
 
+def is_honeypot(skills: Column, career: Column, yoe: Column, as_of: dt.date) -> Column:
+    """Whether a profile breaks a rule: ``honeypot_reason`` without its texts."""
+    return (
+        tenure_overflow(career, yoe)
+        | starts_before_1990(career)
+        | inflated_endorsements(skills)
+        | (unused_expertise(skills) >= 3)
+        | has_too_old_skill(skills, as_of)
+    )
+
+
 def honeypot_reason(skills: Column, career: Column, yoe: Column, as_of: dt.date) -> Column:
     """Reason of the first rule a profile breaks; NULL for a plausible profile."""
     idle = unused_expertise(skills)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rosterank.functions import gates
-from rosterank.functions.basics import literal, strings
+from rosterank.functions.basics import literal, once, strings
 from rosterank.operators.topk import top_per_group
 from rosterank.staging import stage
 
@@ -67,31 +67,50 @@ def _trap(as_of: dt.date) -> Column:
     return gates.honeypot_reason(F.col("skills"), F.col("career_history"), F.col("profile.years_of_experience"), as_of)
 
 
-def _location_ok(gate: Column) -> Column:
-    return gates.passes_location(
-        F.col("profile.location"), F.col("profile.country"), F.col("signals.willing_to_relocate"), gate["locations"]
+def _trapped(as_of: dt.date) -> Column:
+    return gates.is_honeypot(F.col("skills"), F.col("career_history"), F.col("profile.years_of_experience"), as_of)
+
+
+def _whereabouts() -> Column:
+    return gates.whereabouts(
+        F.col("profile.location"), F.col("profile.country"), F.col("signals.willing_to_relocate")
     )
 
 
+def _where_true(array: Column, also: Column) -> Column:
+    """One row for a non-empty ``array`` where ``also`` holds, else none. Both are evaluated once, ``also`` last."""
+    return F.explode(F.filter(F.array(array), lambda found: (F.size(found) > 0) & also))
+
+
 def gate_profiles(candidates: DataFrame, features: DataFrame, as_of: dt.date, *, use_location: bool = True) -> DataFrame:
     """Profiles that pass for at least one description, with those descriptions in ``jd_ids``.
 
     With more descriptions than one block holds a profile comes once for each block in which it passes.
     """
-    return _united([_gate_block(candidates, board, as_of, use_location) for board in gate_boards(features)])
+    located = gate_matches(candidates, features, as_of, located_only=use_location)
+    return located.withColumn("jd_ids", F.transform("matches", lambda m: m["jd_id"])).drop("matches")
 
 
-def _gate_block(candidates: DataFrame, board: Gates, as_of: dt.date, use_location: bool) -> DataFrame:
+def gate_matches(candidates: DataFrame, features: DataFrame, as_of: dt.date, *, located_only: bool = False) -> DataFrame:
+    """Profiles that pass all gates but location for some description, with ``matches``: array of (jd_id, located)."""
+    return _united([_gate_block(candidates, board, as_of, located_only) for board in gate_boards(features)])
+
+
+def _gate_block(candidates: DataFrame, board: Gates, as_of: dt.date, located_only: bool) -> DataFrame:
     years = F.col("profile.years_of_experience")
     in_reach = candidates.filter(years.isNull() | ((years >= board.exp_min) & (years <= board.exp_max)))
     titled = in_reach.filter(~gates.is_disqualified_title(F.col("profile.current_title")))
+    experienced = F.filter(board.array, lambda g: gates.passes_experience(years, g["exp_min"], g["exp_max"]))
 
-    def passes(gate: Column) -> Column:
-        test = gates.passes_experience(years, gate["exp_min"], gate["exp_max"])
-        return test & _location_ok(gate) if use_location else test
+    def matches(where: Column) -> Column:
+        found = F.transform(
+            experienced,
+            lambda g: F.struct(g["jd_id"].alias("jd_id"), gates.within_reach(where, g["locations"]).alias("located")),
+        )
+        return F.filter(found, lambda m: m["located"]) if located_only else found
 
-    ids = F.transform(F.filter(board.array, passes), lambda gate: gate["jd_id"])
-    return titled.withColumn("jd_ids", ids).filter((F.size("jd_ids") > 0) & _trap(as_of).isNull())
+    found = once(_whereabouts(), matches)
+    return titled.select("*", _where_true(found, ~_trapped(as_of)).alias("matches"))
 
 
 def build_pool(candidates: DataFrame, features: DataFrame, as_of: dt.date, min_pool: int = MIN_POOL) -> DataFrame:
@@ -140,7 +159,7 @@ def _drop_block(candidates: DataFrame, board: Gates, as_of: dt.date) -> DataFram
         home.alias("home"),
         F.when(home, hits).otherwise(F.array().cast("array<string>")).alias("hits"),
         bad_title.alias("bad_title"),
-        F.when(bad_title, F.lit(False)).otherwise(_trap(as_of).isNotNull()).alias("trap"),
+        F.when(bad_title, F.lit(False)).otherwise(_trapped(as_of)).alias("trap"),
     )
     groups = seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("n"))
     gate = F.col("gate")
@@ -172,9 +191,8 @@ def _drop_block(candidates: DataFrame, board: Gates, as_of: dt.date) -> DataFram
 
 def honeypot_reasons(candidates: DataFrame, as_of: dt.date) -> DataFrame:
     """(candidate_id, honeypot_reason) of every implausible profile."""
-    return candidates.select("candidate_id", _trap(as_of).alias("honeypot_reason")).filter(
-        F.col("honeypot_reason").isNotNull()
-    )
+    reason = F.explode(F.array_compact(F.array(_trap(as_of))))
+    return candidates.select("candidate_id", reason.alias("honeypot_reason"))
 
 
 def honeypot_sample(candidates: DataFrame, features: DataFrame, as_of: dt.date, n: int = 5) -> DataFrame:
@@ -184,13 +202,12 @@ def honeypot_sample(candidates: DataFrame, features: DataFrame, as_of: dt.date,
 
 def _sample_block(candidates: DataFrame, board: Gates, as_of: dt.date, n: int) -> DataFrame:
     years = F.col("profile.years_of_experience")
-    fits = F.filter(
-        board.array, lambda g: gates.passes_experience(years, g["exp_min"], g["exp_max"]) & _location_ok(g)
-    )
-    trapped = (
-        candidates.filter(~gates.is_disqualified_title(F.col("profile.current_title")))
-        .select("candidate_id", _trap(as_of).alias("honeypot_reason"), F.transform(fits, lambda g: g["jd_id"]).alias("jd_ids"))
-        .filter(F.col("honeypot_reason").isNotNull())
-        .select(F.explode("jd_ids").alias("jd_id"), "candidate_id", "honeypot_reason")
+    experienced = F.filter(board.array, lambda g: gates.passes_experience(years, g["exp_min"], g["exp_max"]))
+    fits = once(
+        _whereabouts(), lambda where: F.filter(experienced, lambda g: gates.within_reach(where, g["locations"]))
     )
-    return top_per_group(trapped, ["jd_id"], [F.asc("candidate_id")], n, spread_by=["candidate_id"])
+    titled = candidates.filter(~gates.is_disqualified_title(F.col("profile.current_title")))
+    found = titled.select("*", _where_true(F.transform(fits, lambda g: g["jd_id"]), _trapped(as_of)).alias("jd_ids"))
+    trapped = found.select(F.explode("jd_ids").alias("jd_id"), "candidate_id", "profile", "skills", "career_history")
+    first = top_per_group(trapped, ["jd_id"], [F.asc("candidate_id")], n, spread_by=["candidate_id"])
+    return first.select("jd_id", "candidate_id", _trap(as_of).alias("honeypot_reason"), "rank")

@@ -13,10 +13,11 @@ from rosterank.functions.basics import lowered, text
 from rosterank.functions.texts import profile_text
 from rosterank.operators.dense import dense_score
 from rosterank.operators.lookup import join_lookup
+from rosterank.operators.substrings import mutual_substrings
 from rosterank.operators.tfidf import MAX_TERMS, tfidf_similarity
 from rosterank.operators.topk import top_per_group
 from rosterank.plans.jobs import extract_jd_features, with_weight_levels
-from rosterank.plans.pool import MAX_DESCRIPTIONS, build_pool
+from rosterank.plans.pool import MAX_DESCRIPTIONS, MIN_POOL, build_pool
 from rosterank.staging import stage
 
 FINAL_ROWS = 100
@@ -70,15 +71,18 @@ def row_scores(
 
 
 def name_weights(pool: DataFrame, features: DataFrame) -> DataFrame:
-    """Written table (jd_id, name, weight): the best term weight of every distinct skill name in the pool."""
-    names = pool.select(
-        F.explode("jd_ids").alias("jd_id"), F.transform("skills", lambda s: lowered(s["name"])).alias("names")
-    )
-    distinct = names.select("jd_id", F.explode("names").alias("name")).distinct()
-    weighed = distinct.join(F.broadcast(features.select("jd_id", "levels")), "jd_id").select(
-        "jd_id", "name", scores.best_weight(F.col("name"), F.col("levels")).alias("weight")
-    )
-    return stage(weighed.filter(F.col("weight").isNotNull()), "name-weights")
+    """Written table (jd_id, name, weight): the best term weight of every distinct skill name in the pool.
+
+    Every name meets the terms of all descriptions once, by substrings; the empty name is part of every term.
+    """
+    names = pool.select(F.explode(F.transform("skills", lambda s: lowered(s["name"]))).alias("name")).distinct()
+    names = stage(names, "skill-names")
+    weights = stage(features.select("jd_id", F.explode("combined").alias("e")).select("jd_id", "e.term", "e.weight"), "terms")
+    terms = stage(weights.select("term").distinct(), "distinct-terms")
+    pairs = stage(mutual_substrings(names, terms), "name-terms")
+    best = pairs.join(weights, "term").groupBy("jd_id", "name").agg(F.max("weight").alias("weight"))
+    bare = weights.groupBy("jd_id").agg(F.max("weight").alias("weight")).select("jd_id", F.lit("").alias("name"), "weight")
+    return stage(best.unionByName(bare), "name-weights")
 
 
 def skill_scores(pool: DataFrame, features: DataFrame) -> DataFrame:
@@ -113,6 +117,12 @@ def pool_scores(pool: DataFrame, features: DataFrame, rows: DataFrame) -> DataFr
     )
 
 
+def pool_texts(pool: DataFrame) -> DataFrame:
+    """(text_id, jd_ids, text): the profile texts of a pool."""
+    text = profile_text(F.col("profile"), F.col("career_history"), F.col("skills"))
+    return pool.select(F.col("candidate_id").alias("text_id"), "jd_ids", text.alias("text"))
+
+
 def score_pool(
     pool: DataFrame,
     features: DataFrame,
@@ -130,12 +140,7 @@ def score_pool(
         vectors = features.withColumnRenamed("embedding", "jd_embedding")
         rows = dense_semantic(profile_scores(pool, vectors, as_of, carry=("embedding",), about=("jd_embedding",)))
     elif semantic == "tfidf":
-        texts = pool.select(
-            F.col("candidate_id").alias("text_id"),
-            "jd_ids",
-            profile_text(F.col("profile"), F.col("career_history"), F.col("skills")).alias("text"),
-        )
-        similar = tfidf_similarity(texts, features.select("jd_id", "text"), max_terms)
+        similar = tfidf_similarity(pool_texts(pool), features.select("jd_id", "text"), max_terms)
         rows = profile_scores(pool, features, as_of).join(
             similar.select("jd_id", F.col("text_id").alias("candidate_id"), "semantic"), ["jd_id", "candidate_id"]
         )
@@ -251,9 +256,14 @@ def rank_candidates(
     top_n: int = SELECTED_ROWS,
     semantic: str = "tfidf",
     max_descriptions: int = MAX_DESCRIPTIONS,
+    min_pool: int = MIN_POOL,
+    max_terms: int = MAX_TERMS,
 ) -> DataFrame:
     """The whole run: jds(jd_id, text[, embedding]) x candidates -> ranked, explained rows per description.
 
+    ``min_pool`` is the number of survivors below which a description's location gate is dropped, ``max_terms`` the
+    size of a vocabulary.
+
     Descriptions are independent of each other, so more than ``max_descriptions`` of them are ranked in hash
     blocks of about half that size and the results united.
     """
@@ -268,8 +278,8 @@ def rank_candidates(
         if blocks > 1:
             part = stage(features.filter(F.pmod(F.xxhash64("jd_id"), F.lit(blocks)) == block), "jd-block")
         levels = with_weight_levels(part)
-        pool = build_pool(candidates, part, as_of)
-        scored = score_pool(pool, levels, as_of, semantic=semantic)
+        pool = build_pool(candidates, part, as_of, min_pool)
+        scored = score_pool(pool, levels, as_of, semantic=semantic, max_terms=max_terms)
         results.append(finalise(select_top(scored, top_n), pool, part, k))
     united = results[0]
     for result in results[1:]:
