@@ -2,7 +2,7 @@
 
 The gates of all descriptions travel as one small literal array, so a profile is tested against them where it is
 scanned: one row per profile in, at most one row out, no join and no shuffle, and the outer experience bounds
-reach the file scan as constants. More than MAX_DESCRIPTIONS descriptions are taken in blocks, each with its own scan.
+reach the file scan as constants. More than MAX_DESCRIPTIONS descriptions are met by signatures (``gate_index``).
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from rosterank.functions import gates
-from rosterank.functions.basics import literal, once, strings
+from rosterank.functions.basics import literal, once
+from rosterank.operators.lookup import MAX_BROADCAST_ROWS, join_lookup
 from rosterank.operators.topk import top_per_group
+from rosterank.plans.gate_index import SIGNATURE, match_places, match_signatures, places_of, with_signature
 from rosterank.staging import stage
 
 MIN_POOL = 100
-MAX_DESCRIPTIONS = 2_000  # rows of one gate array; more descriptions are ranked in blocks
+MAX_DESCRIPTIONS = 2_000  # rows of one gate array; more descriptions are scored in blocks
 
 
 @dataclass(frozen=True)
@@ -33,19 +35,21 @@ class Gates:
     places: tuple[str, ...]
 
 
-def gate_boards(features: DataFrame) -> list[Gates]:
-    """The gates of all descriptions; more than MAX_DESCRIPTIONS of them in hash blocks of about a quarter of that."""
-    wanted = features.select("jd_id", "exp_min", "exp_max", "locations")
-    rows = wanted.limit(MAX_DESCRIPTIONS + 1).collect()
-    if len(rows) <= MAX_DESCRIPTIONS:
-        return [_board(rows)]
-    written = stage(wanted, "gates")
-    blocks = -(-4 * written.count() // MAX_DESCRIPTIONS)
-    return [_board(written.filter(F.pmod(F.xxhash64("jd_id"), F.lit(blocks)) == i).collect()) for i in range(blocks)]
+def gate_board(features: DataFrame) -> Gates | None:
+    """The gates of all descriptions; None for more than MAX_DESCRIPTIONS."""
+    rows = _gate_columns(features).limit(MAX_DESCRIPTIONS + 1).collect()
+    return _board(rows) if len(rows) <= MAX_DESCRIPTIONS else None
 
 
-def _united(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _gate_columns(features: DataFrame) -> DataFrame:
+    return features.select("jd_id", "exp_min", "exp_max", "locations")
+
+
+def _stream_boards(features: DataFrame) -> list[Gates]:
+    """The gates in hash blocks of about a quarter of MAX_DESCRIPTIONS, for streams, which can't be written and met again."""
+    written = stage(_gate_columns(features), "gates")
+    blocks = -(-4 * written.count() // MAX_DESCRIPTIONS)
+    return [_board(written.filter(F.pmod(F.xxhash64("jd_id"), F.lit(blocks)) == i).collect()) for i in range(blocks)]
 
 
 def _board(rows: list[Row]) -> Gates:
@@ -83,17 +87,40 @@ def _where_true(array: Column, also: Column) -> Column:
 
 
 def gate_profiles(candidates: DataFrame, features: DataFrame, as_of: dt.date, *, use_location: bool = True) -> DataFrame:
-    """Profiles that pass for at least one description, with those descriptions in ``jd_ids``.
-
-    With more descriptions than one block holds a profile comes once for each block in which it passes.
-    """
-    located = gate_matches(candidates, features, as_of, located_only=use_location)
+    """Profiles that pass for at least one description, with those descriptions in ``jd_ids``."""
+    board = gate_board(features)
+    if board is None:
+        screened = _screened(candidates, features, ~_trapped(as_of))
+        return _by_signature(screened, features, use_location).select(*candidates.columns, "jd_ids")
+    located = _gate_block(candidates, board, as_of, use_location)
     return located.withColumn("jd_ids", F.transform("matches", lambda m: m["jd_id"])).drop("matches")
 
 
-def gate_matches(candidates: DataFrame, features: DataFrame, as_of: dt.date, *, located_only: bool = False) -> DataFrame:
-    """Profiles that pass all gates but location for some description, with ``matches``: array of (jd_id, located)."""
-    return _united([_gate_block(candidates, board, as_of, located_only) for board in gate_boards(features)])
+def _screened(candidates: DataFrame, features: DataFrame, also: Column) -> DataFrame:
+    """Written table of the profiles that pass the title gate and ``also``, with their signatures: the only scan."""
+    titled = candidates.filter(~gates.is_disqualified_title(F.col("profile.current_title")) & also)
+    return stage(with_signature(titled, places_of(features)), "screened")
+
+
+def _by_signature(screened: DataFrame, features: DataFrame, use_location: bool) -> DataFrame:
+    """Screened profiles with ``jd_ids``, for any number of descriptions."""
+    counted = stage(screened.groupBy(*SIGNATURE).agg(F.count(F.lit(1)).alias("n")), "signatures")
+    pairs = match_signatures(counted, features, use_location=use_location)
+    sets = pairs.groupBy(*SIGNATURE).agg(F.sort_array(F.collect_set("jd_id")).alias("jd_ids"))  # descriptions at most
+    sets = stage(sets.join(counted, SIGNATURE), "signature-sets")
+    entries = sets.agg(F.sum(F.size("jd_ids"))).first()[0] or 0
+    most = MAX_BROADCAST_ROWS if entries <= MAX_BROADCAST_ROWS else 0
+    return join_lookup(screened, sets, SIGNATURE, spread_by="candidate_id", heat="n", max_rows=most)
+
+
+def gate_matches(candidates: DataFrame, features: DataFrame, as_of: dt.date) -> DataFrame:
+    """Profiles that pass all gates but location for some description, with ``matches``: array of (jd_id, located).
+
+    With more descriptions than one block holds a profile comes once for each block in which it passes.
+    """
+    board = gate_board(features)
+    boards = _stream_boards(features) if board is None else [board]
+    return reduce(DataFrame.unionByName, [_gate_block(candidates, board, as_of, False) for board in boards])
 
 
 def _gate_block(candidates: DataFrame, board: Gates, as_of: dt.date, located_only: bool) -> DataFrame:
@@ -117,11 +144,16 @@ def build_pool(candidates: DataFrame, features: DataFrame, as_of: dt.date, min_p
     """Written table of surviving profiles with ``jd_ids`` and the relaxed subset ``relaxed_ids``.
 
     Profiles are scanned once and only survivors are written; scoring and explaining read that table. A second
-    scan without the location gate happens only when some description has fewer than ``min_pool`` survivors,
-    and only for those descriptions.
+    pass without the location gate happens only when some description has fewer than ``min_pool`` survivors,
+    and only for those descriptions. (With more than MAX_DESCRIPTIONS it reads the screened profiles, not the source.)
     """
     none = F.array().cast("array<string>")
-    strict = stage(gate_profiles(candidates, features, as_of), "pool").withColumn("relaxed_ids", none)
+    if gate_board(features) is None:
+        screened = _screened(candidates, features, ~_trapped(as_of))
+        gated = lambda some, use: _by_signature(screened, some, use).select(*candidates.columns, "jd_ids")
+    else:
+        gated = lambda some, use: gate_profiles(candidates, some, as_of, use_location=use)
+    strict = stage(gated(features, True), "pool").withColumn("relaxed_ids", none)
     counts = strict.select(F.explode("jd_ids").alias("jd_id")).groupBy("jd_id").count()
     enough = counts.filter(F.col("count") >= min_pool).select("jd_id")
     short = stage(features.join(enough, "jd_id", "left_anti"), "short-descriptions")
@@ -129,7 +161,7 @@ def build_pool(candidates: DataFrame, features: DataFrame, as_of: dt.date, min_p
         return strict
     short_ids = short.agg(F.collect_list("jd_id")).scalar()
     kept = strict.withColumn("jd_ids", F.array_except("jd_ids", short_ids)).filter(F.size("jd_ids") > 0)
-    relaxed = stage(gate_profiles(candidates, short, as_of, use_location=False), "relaxed-pool")
+    relaxed = stage(gated(short, False), "relaxed-pool")
     return kept.unionByName(relaxed.withColumn("relaxed_ids", F.col("jd_ids")))
 
 
@@ -141,51 +173,42 @@ def pool_pairs(pool: DataFrame) -> DataFrame:
 
 
 def drop_counts(candidates: DataFrame, features: DataFrame, as_of: dt.date) -> DataFrame:
-    """Per description: profiles processed, dropped at each gate and surviving.
+    """Per description: profiles processed, dropped at each gate and surviving, from one scan.
 
-    Profiles are first counted by everything a gate can see of them (years, matched places, flags), which
-    combines before the shuffle; only those groups meet the descriptions.
+    Profiles are first counted by everything a gate can see of them (years, matched places, flags), which combines before
+    the shuffle; only those groups meet the descriptions, by equality (see ``gate_index``). What a description drops
+    for its location or years follows from what it doesn't drop.
     """
-    return _united([_drop_block(candidates, board, as_of) for board in gate_boards(features)])
-
-
-def _drop_block(candidates: DataFrame, board: Gates, as_of: dt.date) -> DataFrame:
     bad_title = gates.is_disqualified_title(F.col("profile.current_title"))
-    home = gates.in_home_country(F.col("profile.country"))
-    hits = gates.location_hits(F.col("profile.location"), strings(board.places))
-    seen = candidates.select(
-        _yoe().alias("yoe"),
-        F.coalesce("signals.willing_to_relocate", F.lit(False)).alias("relocate"),
-        home.alias("home"),
-        F.when(home, hits).otherwise(F.array().cast("array<string>")).alias("hits"),
+    seen = with_signature(candidates, places_of(features)).select(
+        *SIGNATURE,
         bad_title.alias("bad_title"),
         F.when(bad_title, F.lit(False)).otherwise(_trapped(as_of)).alias("trap"),
     )
-    groups = seen.groupBy(*seen.columns).agg(F.count(F.lit(1)).alias("n"))
-    gate = F.col("gate")
-    located = (
-        F.col("relocate")
-        | (F.size(gate["locations"]) == 0)
-        | (F.col("home") & F.arrays_overlap("hits", gate["locations"]))
-    )
-    reasons = groups.withColumn("gate", F.explode(board.array)).select(
-        gate["jd_id"].alias("jd_id"),
-        "n",
-        gates.drop_reason(
-            located,
-            gates.passes_experience(F.col("yoe"), gate["exp_min"], gate["exp_max"]),
-            F.col("bad_title"),
-            F.col("trap"),
-        ).alias("reason"),
-    )
-
-    def total(reason: Column, name: str) -> Column:
-        return F.sum(F.when(reason, F.col("n")).otherwise(F.lit(0))).alias(name)
 
-    return reasons.groupBy("jd_id").agg(
-        F.sum("n").alias("processed"),
-        *[total(F.col("reason") == r, f"dropped_{r}") for r in ("location", "experience", "title", "honeypot")],
-        total(F.col("reason").isNull(), "surviving"),
+    def number(which: Column, name: str) -> Column:
+        return F.sum(F.when(which, F.col("n")).otherwise(F.lit(0))).alias(name)
+
+    flat = seen.groupBy(*SIGNATURE, "bad_title", "trap").agg(F.count(F.lit(1)).alias("n"))
+    groups = flat.groupBy(*SIGNATURE).agg(F.sum("n").alias("n"), number(F.col("bad_title"), "title"), number(F.col("trap"), "honeypot"))
+    groups = stage(groups, "signatures")
+    places = groups.groupBy("moves", "hits").agg(F.sum("n").alias("n"))
+    located = match_places(places, features).join(places, ["moves", "hits"]).groupBy("jd_id").agg(F.sum("n").alias("located"))
+    fitting = match_signatures(groups, features).join(groups, SIGNATURE)
+    fitting = fitting.groupBy("jd_id").agg(*[F.sum(c).alias(c) for c in ("n", "title", "honeypot")])
+    processed = groups.agg(F.sum("n")).first()[0]
+    if processed is None:
+        processed, features = 0, features.where("false")
+    total = F.lit(processed).cast("bigint")
+    every = features.select("jd_id").join(located, "jd_id", "left").join(fitting, "jd_id", "left").na.fill(0)
+    return every.select(
+        "jd_id",
+        total.alias("processed"),
+        (total - F.col("located")).alias("dropped_location"),
+        (F.col("located") - F.col("n")).alias("dropped_experience"),
+        F.col("title").alias("dropped_title"),
+        F.col("honeypot").alias("dropped_honeypot"),
+        (F.col("n") - F.col("title") - F.col("honeypot")).alias("surviving"),
     )
 
 
@@ -197,17 +220,21 @@ def honeypot_reasons(candidates: DataFrame, as_of: dt.date) -> DataFrame:
 
 def honeypot_sample(candidates: DataFrame, features: DataFrame, as_of: dt.date, n: int = 5) -> DataFrame:
     """The first ``n`` profiles per description that fail at the honeypot gate and pass the ones before it."""
-    return _united([_sample_block(candidates, board, as_of, n) for board in gate_boards(features)])
+    board = gate_board(features)
+    if board is None:
+        found = _by_signature(_screened(candidates, features, _trapped(as_of)), features, True)
+    else:
+        found = _trapped_block(candidates, board, as_of)
+    trapped = found.select(F.explode("jd_ids").alias("jd_id"), "candidate_id", "profile", "skills", "career_history")
+    first = top_per_group(trapped, ["jd_id"], [F.asc("candidate_id")], n, spread_by=["candidate_id"])
+    return first.select("jd_id", "candidate_id", _trap(as_of).alias("honeypot_reason"), "rank")
 
 
-def _sample_block(candidates: DataFrame, board: Gates, as_of: dt.date, n: int) -> DataFrame:
+def _trapped_block(candidates: DataFrame, board: Gates, as_of: dt.date) -> DataFrame:
     years = F.col("profile.years_of_experience")
     experienced = F.filter(board.array, lambda g: gates.passes_experience(years, g["exp_min"], g["exp_max"]))
     fits = once(
         _whereabouts(), lambda where: F.filter(experienced, lambda g: gates.within_reach(where, g["locations"]))
     )
     titled = candidates.filter(~gates.is_disqualified_title(F.col("profile.current_title")))
-    found = titled.select("*", _where_true(F.transform(fits, lambda g: g["jd_id"]), _trapped(as_of)).alias("jd_ids"))
-    trapped = found.select(F.explode("jd_ids").alias("jd_id"), "candidate_id", "profile", "skills", "career_history")
-    first = top_per_group(trapped, ["jd_id"], [F.asc("candidate_id")], n, spread_by=["candidate_id"])
-    return first.select("jd_id", "candidate_id", _trap(as_of).alias("honeypot_reason"), "rank")
+    return titled.select("*", _where_true(F.transform(fits, lambda g: g["jd_id"]), _trapped(as_of)).alias("jd_ids"))

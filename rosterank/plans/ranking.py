@@ -264,8 +264,8 @@ def rank_candidates(
     ``min_pool`` is the number of survivors below which a description's location gate is dropped, ``max_terms`` the
     size of a vocabulary.
 
-    Descriptions are independent of each other, so more than ``max_descriptions`` of them are ranked in hash
-    blocks of about half that size and the results united.
+    All descriptions are gated in one scan. More than ``max_descriptions`` of them are then scored in hash blocks of
+    about half that size, out of the written pool, and the results united.
     """
     features = extract_jd_features(jds)
     if semantic == "dense":
@@ -273,12 +273,15 @@ def rank_candidates(
     count = features.count()
     blocks = 1 if count <= max_descriptions else -(-2 * count // max_descriptions)
     results = []
+    every = build_pool(candidates, features, as_of, min_pool)
+    own = lambda jd_id, block: F.pmod(F.xxhash64(jd_id), F.lit(blocks)) == block
     for block in range(blocks):
-        part = features
+        part, pool = features, every
         if blocks > 1:
-            part = stage(features.filter(F.pmod(F.xxhash64("jd_id"), F.lit(blocks)) == block), "jd-block")
+            part = stage(features.filter(own("jd_id", block)), "jd-block")
+            ids = F.filter("jd_ids", lambda jd_id: own(jd_id, block))  # noqa: B023
+            pool = stage(every.withColumn("jd_ids", ids).filter(F.size("jd_ids") > 0), "pool-block")
         levels = with_weight_levels(part)
-        pool = build_pool(candidates, part, as_of, min_pool)
         scored = score_pool(pool, levels, as_of, semantic=semantic, max_terms=max_terms)
         results.append(finalise(select_top(scored, top_n), pool, part, k))
     united = results[0]
