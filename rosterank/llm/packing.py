@@ -15,6 +15,7 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import insort
@@ -39,6 +40,18 @@ GROUP_CHARS = 1_500_000
 #: wording of it could mean something else: from other scripts, numbers that aren't digits, separators, special tokens.
 WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 UNSAFE = re.compile("[\u0250-\U0010ffff\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|<\\|")
+#: The rules for which WORDS and UNSAFE are worded (fixed values of the tokenizer's file).
+NORMALIZERS, SUFFIX = ["NFC", "Replace", "Lowercase"], "</w>"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def known_rules(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer cuts texts into words by the rules that this module follows."""
+    told = json.loads(tokenizer.to_str())
+    steps = ((told.get("normalizer") or {}).get("normalizers") or [], (told.get("pre_tokenizer") or {}).get("pretokenizers") or [])
+    names, first = [n.get("type") for n in steps[0]], (steps[1] or [{}])[0]
+    split = first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+    return names == NORMALIZERS and split and told["model"].get("end_of_word_suffix") == SUFFIX
 
 
 class WordCache(dict):
@@ -51,6 +64,9 @@ class WordCache(dict):
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        ids = tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for token, i in ids.items() if token.endswith(SUFFIX)]] = True
 
     def learn(self, words: set[str]) -> None:
         """Tokenise the words not met before, many in one call."""
@@ -60,10 +76,16 @@ class WordCache(dict):
             new = list(words)
         for at in range(0, len(new), 4000):
             part = new[at : at + 4000]
-            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(coded.ids, "<u4").tobytes()
-            ends = (np.searchsorted(np.asarray(coded.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
-            self.update(zip(part, (ids[i:j] for i, j in zip(ends, ends[1:], strict=False)), strict=True))
+            ids = np.asarray(self._ids(" ".join(part)), "<u4")
+            ends = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(ends) == len(part) + 1:
+                raw = ids.tobytes()
+                self.update(zip(part, (raw[i:j] for i, j in zip(ends, ends[1:], strict=False)), strict=True))
+            else:  # a word without an end of its own: one at a time
+                self.update((w, np.asarray(self._ids(w), "<u4").tobytes()) for w in part)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; texts are taken in groups, so that memory does not follow the batch."""
@@ -76,7 +98,7 @@ class WordCache(dict):
                 self.learn(set().union(*(x for x in group if not isinstance(x, str))))
                 for x in group:
                     if isinstance(x, str):
-                        yield np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+                        yield np.asarray(self._ids(x), "<u4").tobytes()
                     else:
                         yield b"".join(map(self.__getitem__, x))
                 group, size = [], 0
@@ -85,7 +107,9 @@ class WordCache(dict):
 def tokenise(
     documents: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False
 ) -> DataFrame:
-    """One row per piece (PIECES); ``ids`` only on request. The tokenizer has to drop white space between words."""
+    """One row per piece (PIECES); ``ids`` only on request. A tokenizer that cuts words by other rules is refused."""
+    if not known_rules(Tokenizer.from_file(tokenizer_path)):
+        raise ValueError(f"{tokenizer_path} cuts texts into words by other rules than this module")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCache(Tokenizer.from_file(tokenizer_path))

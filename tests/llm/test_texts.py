@@ -146,6 +146,24 @@ def test_packing(spark):
     assert packing.pack_documents(documents(spark, []), path).count() == 0
 
 
+def test_words_meet_the_tokenizer_as_in_their_texts():
+    own = Tokenizer.from_file(packing.default_tokenizer())
+    texts = [*ODD, *(t or "" for _, t in DOCUMENTS), "it's IT'LL _a__b 1234 ... ?! x_y 'S'", "".join(map(chr, range(32, 592)))]
+    want = [np.asarray(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(packing.WordCache(own).encode(texts)) == want
+
+
+def test_other_tokenizers_are_refused(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    other = Tokenizer(models.BPE(vocab={"a": 0, "b": 1}, merges=[], end_of_word_suffix="</w>"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    assert packing.known_rules(Tokenizer.from_file(packing.default_tokenizer())) and not packing.known_rules(other)
+    with pytest.raises(ValueError, match="other rules"):
+        packing.pack_documents(documents(spark), str(tmp_path / "other.json"))
+
+
 @pytest.mark.parametrize("histogram", [{}, {5: 1}, {10: 7}, {6: 5, 4: 5, 3: 1}, {1: 25, 9: 2, 10: 1}])
 def test_plan_places_everything_once(histogram):
     slots = packing.plan_slots(histogram, 10)
