@@ -593,6 +593,20 @@ FROM selected GROUP BY jd_id""",
         ),
         "output_violations": sql("SELECT * FROM found", RANKING_ROWS),
     }
+    words = "SELECT {id} AS id, word, CAST('0x' || md5(word)[1:8] AS BIGINT) AS code FROM (SELECT {id}, unnest(string_split_regex(lower(text), '[ \\t\\n\\x0b\\x0c\\r]+')) AS word FROM {table}) WHERE word <> ''"
+    coded = "{name} AS (SELECT id, code % 64 AS at, CAST(sum(CASE WHEN code & 64 <> 0 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM ({words}) GROUP BY ALL)"
+    oracles["encoded_similarity"] = sql(
+        f"""SELECT item_id, doc_id, {rounded("share", 4)} AS similarity FROM encoded_share""",
+        coded.format(name="coded_item", words=words.format(id="item_id", table="benchmark")),
+        coded.format(name="coded_doc", words=words.format(id="doc_id", table="documents")),
+        "lengths AS (SELECT 'i' AS kind, id, sqrt(sum(v * v)) AS n FROM coded_item GROUP BY id UNION ALL SELECT 'd', id, sqrt(sum(v * v)) FROM coded_doc GROUP BY id)",
+        """encoded_share AS (
+  SELECT item_id, doc_id, greatest(coalesce(CASE WHEN i.n > 0 AND d.n > 0 THEN dot / (d.n * i.n) END, 0e0), 0e0) AS share
+  FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents) SEMI JOIN benchmark USING (item_id)
+  LEFT JOIN (SELECT a.id AS doc_id, sum(a.v * b.v) AS dot FROM coded_doc a
+    JOIN coded_item b ON a.at = b.at AND b.id = a.id % (SELECT count(*) FROM benchmark) GROUP BY a.id) USING (doc_id)
+  LEFT JOIN lengths d ON d.kind = 'd' AND d.id = doc_id LEFT JOIN lengths i ON i.kind = 'i' AND i.id = item_id)""",
+    )
     oracles["nation_pool"] = sql("SELECT jd_id, candidate_id, relaxed FROM pool", *NATIONS)
     oracles["stream_stage1"] = sql(
         f"""SELECT jd_id, candidate_id, {EXPERIENCE} AS experience, {SENIORITY} AS seniority, behavior, skill, relaxed

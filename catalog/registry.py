@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from catalog import adapter
 from catalog.adapter import AS_OF
 from rosterank.functions import scores
-from rosterank.operators.dense import dense_score, encode_texts
+from rosterank.operators.dense import dense_score, encode_texts, with_cosine
+from rosterank.operators.lookup import join_lookup
 from rosterank.operators.tfidf import fit_vocabulary, load_vocabulary, save_vocabulary, tfidf_similarity
 from rosterank.operators.topk import top_per_group
 from rosterank.plans import jobs, pool, quality, ranking
@@ -104,24 +105,29 @@ def dense_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per label: the vectors closest to the label's first vector."""
     vectors = adapter.table(spark, sf_dir, "embeddings")
     anchors = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("jd_embedding"))
-    scored = vectors.join(anchors, "label").select(
-        "label", "vec_id", dense_score(F.col("embedding"), F.col("jd_embedding")).alias("similarity")
-    )
+    paired = join_lookup(vectors.select("label", "vec_id", "embedding"), stage(anchors, "anchors"), ["label"], spread_by="vec_id")
+    cosines = with_cosine(paired, "embedding", "jd_embedding", "cosine")
+    scored = cosines.select("label", "vec_id", dense_score(F.col("cosine")).alias("similarity"))
     order = [F.desc("similarity"), F.asc("vec_id")]
     return top_per_group(scored, ["label"], order, 20, spread_by=["vec_id"])
 
 
 def make_hash_encoder() -> Callable[[np.ndarray], np.ndarray]:
     """A deterministic stand-in for a sentence encoder: signed word hashing into 64 dimensions."""
-    import zlib
+    import hashlib
+    import re
+
+    def code(word: str) -> int:
+        return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
 
     def encode(texts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(texts), 64), dtype=np.float32)
-        for row, value in enumerate(texts):
-            for word in str(value).lower().split():
-                code = zlib.crc32(word.encode("utf-8"))
-                out[row, code % 64] += 1.0 if code & 64 else -1.0
-        return out
+        words = [re.split("[ \t\n\x0b\x0c\r]+", str(t).lower()) for t in texts]
+        known, place = np.unique(np.array([w for some in words for w in some], object), return_inverse=True)
+        codes = np.array([code(w) if w else 0 for w in known], np.int64)[place]
+        sign = np.where(codes & 64, 1.0, -1.0) * np.array([w != "" for w in known], float)[place]
+        rows = np.repeat(np.arange(len(words)), [len(some) for some in words])
+        flat = np.bincount(rows * 64 + codes % 64, sign, len(words) * 64)
+        return flat.reshape(len(words), 64).astype(np.float32)
 
     return encode
 
@@ -131,12 +137,11 @@ def encoded_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = adapter.table(spark, sf_dir, "benchmark")
     n_items = items.agg(F.count(F.lit(1))).scalar()
     coded_items = encode_texts(items, "text", make_hash_encoder, output="item_vector").select("item_id", "item_vector")
-    documents = encode_texts(
-        adapter.spread(adapter.table(spark, sf_dir, "documents")).select("doc_id", "text"), "text", make_hash_encoder
-    )
-    return documents.join(coded_items, F.col("doc_id") % n_items == F.col("item_id")).select(
-        "item_id", "doc_id", dense_score(F.col("embedding"), F.col("item_vector")).alias("similarity")
-    )
+    texts = adapter.spread(adapter.table(spark, sf_dir, "documents")).select("doc_id", "text")
+    documents = encode_texts(texts, "text", make_hash_encoder).withColumn("item_id", F.col("doc_id") % n_items)
+    pairs = join_lookup(documents.select("item_id", "doc_id", "embedding"), stage(coded_items, "items"), ["item_id"], spread_by="doc_id")
+    cosines = with_cosine(pairs, "embedding", "item_vector", "cosine")
+    return cosines.select("item_id", "doc_id", dense_score(F.col("cosine")).alias("similarity"))
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rosterank import vocab
-from rosterank.functions.basics import BLANK, WORD, exact_round, literal, strings
+from rosterank.functions.basics import BLANK, WORD, exact_round, literal, once, strings
 from rosterank.functions.scores import LEVEL_BREAK
+from rosterank.functions.search import held_terms, occurrences
 
 YEARS = r"(?:years?|yrs?)"
 # --- fixed values: the experience phrases, in order of priority; the first is a range ----------------
@@ -42,23 +43,44 @@ def experience_range(low_text: Column) -> Column:
     )
 
 
-def locations(low_text: Column) -> Column:
-    found = F.filter(strings(vocab.CITIES), lambda city: F.contains(low_text, city))
-    metro = F.arrays_overlap(found, strings(vocab.METRO_TRIGGERS))
-    return F.sort_array(F.when(metro, F.array_union(found, strings(vocab.METRO_AREA))).otherwise(found))
-
-
-def _vocabulary() -> Column:
-    rows = [
+def _vocabulary_rows() -> list[dict]:
+    return [
         {"term": term, "weight": vocab.TIER_WEIGHTS[tier][0], "unnamed_weight": vocab.TIER_WEIGHTS[tier][1]}
         for tier, term in vocab.tiered_terms()
     ]
-    return literal(rows, "array<struct<term:string,weight:double,unnamed_weight:double>>")
 
 
-def vocabulary_hits(low_text: Column) -> Column:
-    hits = F.filter(_vocabulary(), lambda v: F.contains(low_text, v["term"]))
-    return F.transform(hits, lambda v: F.struct(v["term"].alias("term"), v["weight"].alias("weight")))
+def _vocabulary() -> Column:
+    return literal(_vocabulary_rows(), "array<struct<term:string,weight:double,unnamed_weight:double>>")
+
+
+def held(low_text: Column) -> Column:
+    """Positions of the vocabulary's terms, then of the cities, that the text holds."""
+    return held_terms(low_text, [*(v["term"] for v in _vocabulary_rows()), *vocab.CITIES])
+
+
+def locations(found: Column) -> Column:
+    """The cities among ``held`` positions, with the whole metropolis if they hold one of its parts."""
+    first = len(_vocabulary_rows())
+    cities = strings(vocab.CITIES)
+    named = F.transform(F.filter(found, lambda i: i >= first), lambda i: F.get(cities, i - first))
+    return F.sort_array(
+        once(
+            named,
+            lambda some: F.when(
+                F.arrays_overlap(some, strings(vocab.METRO_TRIGGERS)), F.array_union(some, strings(vocab.METRO_AREA))
+            ).otherwise(some),
+        )
+    )
+
+
+def vocabulary_hits(found: Column) -> Column:
+    """The terms among ``held`` positions with their weights, in the vocabulary's order."""
+    terms, first = _vocabulary(), len(_vocabulary_rows())
+    return F.transform(
+        F.filter(found, lambda i: i < first),
+        lambda i: F.struct(F.get(terms, i)["term"].alias("term"), F.get(terms, i)["weight"].alias("weight")),
+    )
 
 
 def shaped_terms(low_text: Column) -> Column:
@@ -72,16 +94,9 @@ def plain_words(low_text: Column) -> Column:
     return F.array_except(found, strings(vocab.GENERIC_WORDS))
 
 
-def occurrences(low_text: Column, words: Column) -> Column:
-    """Non-overlapping substring occurrences of every word in the whole text.
-
-    The words hold only letters, digits and hyphens, so each is its own pattern; literal patterns are searched
-    with skips, which matters because a long text is searched once per distinct word.
-    """
-    return F.transform(
-        words,
-        lambda w: F.struct(w.alias("term"), F.regexp_count(low_text, w).cast("double").alias("n")),
-    )
+def counted_words(low_text: Column, words: Column) -> Column:
+    """Every word with its non-overlapping substring occurrences in the whole text."""
+    return F.zip_with(words, occurrences(low_text, words), lambda w, n: F.struct(w.alias("term"), n.alias("n")))
 
 
 def frequency_weights(counted: Column, top: Column) -> Column:

@@ -23,18 +23,19 @@ def extract_jd_features(jds: DataFrame) -> DataFrame:
 def feature_columns(jds: DataFrame) -> DataFrame:
     """The features as a lazy projection.
 
-    Row-local from end to end: vocabularies are literal arrays, so a table of any number of descriptions is one
-    scan without join or shuffle. Each ``select`` below only reads columns the previous one has finished; that
+    Row-local from end to end: a text is searched once for the whole vocabulary and all cities, and once more for its own
+    words if it is sparse, so a table of any number of descriptions is one scan without join or shuffle. Each ``select`` below only reads columns the previous one has finished; that
     keeps the whole-text expressions out of the lambdas.
     """
     low = jds.select("jd_id", "text", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    low = low.withColumn("held", jd_text.held(F.col("low")))
     found = low.select(
         "jd_id",
         "text",
         "low",
         jd_text.experience_range(F.col("low")).alias("range"),
-        jd_text.locations(F.col("low")).alias("locations"),
-        jd_text.vocabulary_hits(F.col("low")).alias("hits"),
+        jd_text.locations(F.col("held")).alias("locations"),
+        jd_text.vocabulary_hits(F.col("held")).alias("hits"),
         jd_text.shaped_terms(F.col("low")).alias("shaped"),
     )
     shaped = F.array_except("shaped", F.transform("hits", lambda e: e["term"]))
@@ -46,7 +47,7 @@ def feature_columns(jds: DataFrame) -> DataFrame:
     )
     sparse = F.size("named") < FALLBACK_BELOW
     worded = named.withColumn("words", F.when(sparse, jd_text.plain_words(F.col("low"))))
-    counted = worded.withColumn("counted", F.when(sparse, jd_text.occurrences(F.col("low"), F.col("words"))))
+    counted = worded.withColumn("counted", jd_text.counted_words(F.col("low"), F.col("words")))
     weighted = counted.withColumn(
         "by_frequency",
         F.when(

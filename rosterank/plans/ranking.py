@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rosterank.functions import explain, scores
 from rosterank.functions.basics import lowered, text
 from rosterank.functions.texts import profile_text
-from rosterank.operators.dense import dense_score
+from rosterank.operators.dense import dense_score, with_cosines
 from rosterank.operators.lookup import join_lookup
 from rosterank.operators.substrings import mutual_substrings
 from rosterank.operators.tfidf import MAX_TERMS, tfidf_similarity
@@ -30,22 +30,37 @@ def behavior_columns(signals: Column, as_of: dt.date) -> dict[str, Column]:
 
 
 def profile_scores(
-    profiles: DataFrame, features: DataFrame, as_of: dt.date, *, carry: Sequence[str] = (), about: Sequence[str] = ()
+    profiles: DataFrame,
+    features: DataFrame,
+    as_of: dt.date,
+    *,
+    carry: Sequence[str] = (),
+    about: Sequence[str] = (),
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """(jd_id, candidate_id, experience, seniority, behavior) per profile and description, row by row.
 
     ``carry`` and ``about`` name further columns to keep of the profiles and of the features. ``profiles`` has
-    ``jd_ids``; ``features`` has at most MAX_DESCRIPTIONS rows, which bounds the broadcast.
+    ``jd_ids``; ``features`` has at most MAX_DESCRIPTIONS rows, which bounds the broadcast. With ``vectors``
+    (jd_id, embedding) the profiles' ``embedding`` gives ``semantic`` too.
     """
     points = behavior_columns(F.col("signals"), as_of)
     rows = profiles.select(
         "candidate_id",
-        F.explode("jd_ids").alias("jd_id"),
+        "jd_ids",
         F.col("profile.years_of_experience").alias("yoe"),
         F.col("profile.current_title").alias("title"),
         *[c.alias(f"points_{name}") for name, c in points.items()],
         *carry,
+        *(["embedding"] if vectors is not None else []),
     )
+    semantic = []
+    if vectors is None:
+        rows = rows.select("*", F.explode("jd_ids").alias("jd_id"))
+    else:
+        rows = with_cosines(rows, vectors, key="jd_id", of="embedding", ids="jd_ids", vector="embedding", output="cosines")
+        rows = rows.select("*", F.inline(F.arrays_zip(F.col("jd_ids").alias("jd_id"), F.col("cosines").alias("cosine"))))
+        semantic = [dense_score(F.col("cosine")).alias("semantic")]
     return rows.join(F.broadcast(features.select("jd_id", "exp_min", "exp_max", *about)), "jd_id").select(
         "jd_id",
         "candidate_id",
@@ -54,18 +69,25 @@ def profile_scores(
         scores.experience_fit(F.col("yoe"), F.col("exp_min"), F.col("exp_max")).alias("experience"),
         scores.seniority(F.col("title")).alias("seniority"),
         scores.behavior_multiplier({name: F.col(f"points_{name}") for name in points}).alias("behavior"),
+        *semantic,
     )
 
 
 def row_scores(
-    profiles: DataFrame, features: DataFrame, as_of: dt.date, *, carry: Sequence[str] = (), about: Sequence[str] = ()
+    profiles: DataFrame,
+    features: DataFrame,
+    as_of: dt.date,
+    *,
+    carry: Sequence[str] = (),
+    about: Sequence[str] = (),
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """``profile_scores`` plus ``skill``, all inside the row: the form a stream needs.
 
     ``features`` comes from ``with_weight_levels``. Every skill is matched against every term; for a whole pool
     ``pool_scores`` matches each distinct name once.
     """
-    rows = profile_scores(profiles, features, as_of, carry=("skills", *carry), about=("levels", *about))
+    rows = profile_scores(profiles, features, as_of, carry=("skills", *carry), about=("levels", *about), vectors=vectors)
     totals = rows.withColumn("total", scores.skill_total(F.col("skills"), F.col("levels"))).drop("skills", "levels")
     return totals.withColumn("skill", scores.skill_score(F.col("total"))).drop("total")
 
@@ -137,8 +159,7 @@ def score_pool(
     column of the pool and of the features; there only slim score rows are shuffled.
     """
     if semantic == "dense":
-        vectors = features.withColumnRenamed("embedding", "jd_embedding")
-        rows = dense_semantic(profile_scores(pool, vectors, as_of, carry=("embedding",), about=("jd_embedding",)))
+        rows = profile_scores(pool, features, as_of, vectors=features)
     elif semantic == "tfidf":
         similar = tfidf_similarity(pool_texts(pool), features.select("jd_id", "text"), max_terms)
         rows = profile_scores(pool, features, as_of).join(
@@ -149,12 +170,6 @@ def score_pool(
     return with_composite(pool_scores(pool, features, rows))
 
 
-def dense_semantic(rows: DataFrame) -> DataFrame:
-    """Replace the vectors ``embedding`` and ``jd_embedding`` by their ``semantic`` score."""
-    score = dense_score(F.col("embedding"), F.col("jd_embedding"))
-    return rows.withColumn("semantic", score).drop("embedding", "jd_embedding")
-
-
 def with_composite(rows: DataFrame) -> DataFrame:
     parts = [F.col(c) for c in ("semantic", "skill", "behavior", "experience", "seniority")]
     return rows.withColumn("score", scores.composite(*parts))

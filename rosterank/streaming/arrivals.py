@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from rosterank.operators.lookup import join_lookup
 from rosterank.operators.tfidf import fixed_similarity
 from rosterank.plans.pool import MIN_POOL, gate_matches
-from rosterank.plans.ranking import SELECTED_ROWS, dense_semantic, pool_texts, row_scores, select_top, with_composite
+from rosterank.plans.ranking import SELECTED_ROWS, pool_texts, row_scores, select_top, with_composite
 from rosterank.schemas import candidate_schema
 from rosterank.staging import stage
 
@@ -79,11 +79,10 @@ def append_scores(scored: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
 def dense_scorer(features: DataFrame, as_of: dt.date) -> Callable[[DataFrame], DataFrame]:
     """Scores of matched profiles by their ``embedding`` and that of the features."""
-    vectors = features.withColumnRenamed("embedding", "jd_embedding")
+    vectors = stage(features.select("jd_id", "embedding"), "jd-vectors")
 
     def score(matched: DataFrame) -> DataFrame:
-        rows = row_scores(matched, vectors, as_of, carry=("embedding", "located_ids"), about=("jd_embedding",))
-        return with_composite(dense_semantic(rows))
+        return with_composite(row_scores(matched, features, as_of, carry=("located_ids",), vectors=vectors))
 
     return score
 
