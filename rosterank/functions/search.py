@@ -10,7 +10,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,15 +22,16 @@ def held_terms(low_text: Column, terms: Sequence[str]) -> Column:
     """Positions in ``terms`` of those that are part of the text, ascending; one automaton per task finds all of them."""
     listed = list(terms)
 
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = ahocorasick.Automaton()
         for place, term in enumerate(listed):
             automaton.add_word(term, place)
         automaton.make_automaton()
         for texts in batches:
-            yield texts.map(lambda t: sorted({place for _, place in automaton.iter(t)}) if t else [])
+            found = [sorted({place for _, place in automaton.iter(t)}) if t else [] for t in texts.to_pylist()]
+            yield pa.array(found, pa.list_(pa.int32()))
 
-    return F.pandas_udf(search, "array<int>")(low_text)
+    return F.arrow_udf(search, "array<int>")(low_text)
 
 
 def count_in(text: str, words: Sequence[str]) -> list[float]:
@@ -57,8 +58,9 @@ def count_in(text: str, words: Sequence[str]) -> list[float]:
 def occurrences(low_text: Column, words: Column) -> Column:
     """array<double>: how often each of ``words`` is part of the text; NULL where the words are."""
 
-    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, sought in batches:
-            yield pd.Series([None if w is None else count_in(t or "", list(w)) for t, w in zip(texts, sought, strict=True)], dtype=object)
+            found = [None if w is None else count_in(t or "", w) for t, w in zip(texts.to_pylist(), sought.to_pylist(), strict=True)]
+            yield pa.array(found, pa.list_(pa.float64()))
 
-    return F.pandas_udf(count, "array<double>")(F.when(words.isNotNull(), low_text), words)
+    return F.arrow_udf(count, "array<double>")(F.when(words.isNotNull(), low_text), words)

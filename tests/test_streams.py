@@ -129,11 +129,12 @@ def test_large_sets_of_descriptions_score_alike(spark, setting, monkeypatch):
     _, _, features, survivors = setting
     texts, jds = ranking.pool_texts(survivors), features.select("jd_id", "text")
     found = []
-    for bound in (1_000_000, 3):
+    for bound, small in ((1_000_000, False), (3, True), (3, False)):
         monkeypatch.setattr(tfidf, "MAX_BROADCAST_ROWS", bound)
+        monkeypatch.setattr(tfidf, "_sets_are_small", lambda sets, small=small: small)
         rows = tfidf.tfidf_similarity(texts, jds).collect()
         found.append(sorted((r["jd_id"], r["text_id"], round(r["similarity"], 12), r["semantic"]) for r in rows))
-    assert found[0] == found[1] and len(found[0]) > 100
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
 
 
 def test_mutual_substrings_against_all_pairs(spark):
