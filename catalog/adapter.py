@@ -186,6 +186,12 @@ def document_jds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_jds(items: DataFrame) -> DataFrame:
+    """(item_id, value): every benchmark passage as a description."""
+    opening, closing = pick(phrases.JD_OPENINGS, F.col("item_id")), pick(phrases.JD_CLOSINGS, F.floor(F.col("item_id") / 3))
+    return items.select("item_id", F.concat_ws("\n", opening, "text", closing).alias("value"))
+
+
 def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 100 consecutive orders as one ranking file, with faults spread by order key."""
     k = F.col("o_orderkey")

@@ -496,14 +496,13 @@ def all_oracles() -> dict[str, str]:
         f"CAST(count(*) FILTER (WHERE reason = '{r}') AS BIGINT) AS dropped_{r}"
         for r in ("location", "experience", "title", "honeypot")
     )
-    oracles = {
-        "gate_drop_counts": sql(
-            f"""SELECT jd_id, CAST(count(*) AS BIGINT) AS processed, {counts},
+    drops = f"""SELECT jd_id, CAST(count(*) AS BIGINT) AS processed, {counts},
   CAST(count(*) FILTER (WHERE reason IS NULL) AS BIGINT) AS surviving
 FROM (SELECT jd_id, CASE WHEN NOT loc_ok THEN 'location' WHEN NOT exp_ok THEN 'experience' WHEN bad_title THEN 'title'
-  WHEN trap IS NOT NULL THEN 'honeypot' END AS reason FROM gated) GROUP BY jd_id""",
-            *STAGE1,
-        ),
+  WHEN trap IS NOT NULL THEN 'honeypot' END AS reason FROM gated) GROUP BY jd_id"""
+    oracles = {
+        "gate_drop_counts": sql(drops, *STAGE1),
+        "pool_drop_counts": sql(drops, *NATIONS),
         "honeypot_reasons": sql(
             "SELECT candidate_id, trap AS honeypot_reason FROM cand JOIN traps USING (k) WHERE trap IS NOT NULL", *PROFILE
         ),
@@ -607,6 +606,32 @@ FROM selected GROUP BY jd_id""",
     JOIN coded_item b ON a.at = b.at AND b.id = a.id % (SELECT count(*) FROM benchmark) GROUP BY a.id) USING (doc_id)
   LEFT JOIN lengths d ON d.kind = 'd' AND d.id = doc_id LEFT JOIN lengths i ON i.kind = 'i' AND i.id = item_id)""",
     )
+    oracles["json_arrays"] = sql(
+        """SELECT format, candidate_id, yoe, title, CAST(CASE WHEN c % 17 = 0 THEN -1 ELSE c % 9 + 1 END AS INTEGER) AS n_skills,
+  notice FROM cand JOIN base USING (k) CROSS JOIN (VALUES ('lines'), ('array')) f(format)""",
+        BASE,
+    )
+    oracles["malformed_lines"] = sql(
+        """SELECT candidate_id, title, CAST(1 AS BIGINT) AS n FROM kinds WHERE kind = 'sound'
+UNION ALL SELECT NULL, kind, count(*) FROM kinds WHERE kind NOT IN ('sound', 'blank') GROUP BY kind""",
+        BASE,
+        """kinds AS (SELECT *, CASE WHEN k % 11 = 3 THEN 'cut off' WHEN k % 13 = 5 THEN 'words' WHEN k % 17 = 7 THEN 'blank'
+  WHEN k % 19 = 2 THEN 'no id' ELSE 'sound' END AS kind FROM cand)""",
+    )
+    oracles["text_files"] = sql(
+        """SELECT jd_id, CAST(exp_min AS BIGINT) AS exp_min, CAST(exp_max AS BIGINT) AS exp_max, coalesce(places, '') AS places,
+  CAST(length(text) AS INTEGER) AS n_chars FROM jd JOIN jd_range USING (jd_id)
+LEFT JOIN (SELECT jd_id, string_agg(place, ',' ORDER BY place) AS places FROM jd_place GROUP BY jd_id) USING (jd_id)""",
+        f"""
+jd AS (SELECT CAST(item_id AS VARCHAR) AS jd_id, concat_ws(chr(10), {pick(phrases.JD_OPENINGS, "item_id")}, text,
+  {pick(phrases.JD_CLOSINGS, "item_id // 3")}) || chr(10) AS text FROM benchmark)""",
+        JD_FEATURES,
+    )
+    oracles["nation_status"] = sql(
+        """SELECT jd_id, count(k) AS pooled, coalesce(bool_or(relaxed), true) AS relaxed, count(k) >= 100 AS enough
+FROM jd LEFT JOIN pool USING (jd_id) GROUP BY jd_id""",
+        *NATIONS,
+    )
     oracles["nation_pool"] = sql("SELECT jd_id, candidate_id, relaxed FROM pool", *NATIONS)
     oracles["stream_stage1"] = sql(
         f"""SELECT jd_id, candidate_id, {EXPERIENCE} AS experience, {SENIORITY} AS seniority, behavior, skill, relaxed

@@ -17,7 +17,8 @@ from rosterank.operators.lookup import join_lookup
 from rosterank.operators.tfidf import fit_vocabulary, load_vocabulary, save_vocabulary, tfidf_similarity
 from rosterank.operators.topk import top_per_group
 from rosterank.plans import jobs, pool, quality, ranking
-from rosterank.sources.candidates import load_candidates
+from rosterank.sources.candidates import load_candidates, split_malformed
+from rosterank.sources.job_texts import load_job_texts
 from rosterank.sources.ranking_csv import read_ranking_rows, write_ranking_csv
 from rosterank.staging import stage, staging_root
 from rosterank.streaming import arrivals
@@ -38,6 +39,11 @@ def gate_drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.drop_counts(adapter.candidates(spark, sf_dir), _features(spark, sf_dir), AS_OF)
 
 
+def pool_drop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' drop counts that come with their pools, from the scan that writes these."""
+    return pool.pool_with_counts(adapter.candidates(spark, sf_dir), _nation_features(spark, sf_dir), AS_OF)[1]
+
+
 def honeypot_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.honeypot_reasons(adapter.candidates(spark, sf_dir), AS_OF)
 
@@ -233,6 +239,58 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles in JSON arrays, one per 100 orders, and in JSON lines; each is read by what its path ends with."""
+    rows = adapter.candidates(spark, sf_dir)
+    number = F.substring("candidate_id", 6, 20).cast("bigint")
+    whole = F.struct(*[c for c in rows.columns])
+    packed = rows.groupBy(F.floor(number / 100).alias("file")).agg(F.collect_list(F.to_json(whole)).alias("l"))  # 100 at most
+    arrays, lines = _fresh(spark, "arrays"), _fresh(spark, "lines") + ".jsonl"
+    packed.select("file", F.concat(F.lit("["), F.array_join("l", ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").text(arrays)
+    rows.select(F.to_json(whole).alias("value")).write.text(lines)
+    read = load_candidates(spark, f"{arrays}/*/*.txt").withColumn("format", F.lit("array"))
+    read = read.unionByName(load_candidates(spark, lines).withColumn("format", F.lit("lines")))
+    return read.select(
+        "format", "candidate_id", F.col("profile.years_of_experience").alias("yoe"), F.col("profile.current_title").alias("title"),
+        F.coalesce(F.size("skills"), F.lit(-1)).alias("n_skills"), F.col("signals.notice_period_days").alias("notice"),
+    )
+
+
+def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of which some are cut off, no JSON, blank, or without an id: sound profiles, and how many others."""
+    rows = adapter.candidates(spark, sf_dir)
+    number = F.substring("candidate_id", 6, 20).cast("bigint")
+    line = F.to_json(F.struct(*[c for c in rows.columns]))
+    nameless = F.to_json(F.struct(*[c for c in rows.columns if c != "candidate_id"]))
+    spoilt = (
+        F.when(number % 11 == 3, F.substring(line, 1, 40)).when(number % 13 == 5, F.lit("no JSON at all"))
+        .when(number % 17 == 7, F.lit("  ")).when(number % 19 == 2, nameless).otherwise(line)
+    )
+    path = _fresh(spark, "spoilt") + ".ndjson"
+    rows.select(spoilt.alias("value")).write.text(path)
+    sound, others = split_malformed(load_candidates(spark, path, keep_malformed=True))
+    told = sound.select("candidate_id", F.col("profile.current_title").alias("title"), F.lit(1).cast("bigint").alias("n"))
+    kind = F.when(F.col("raw") == "no JSON at all", "words").when(F.col("raw").startswith('{"candidate_id"'), "cut off").otherwise("no id")
+    count = others.groupBy(kind.alias("title")).agg(F.count(F.lit(1)).alias("n"))
+    return told.unionByName(count.select(F.lit(None).cast("string").alias("candidate_id"), "title", "n"))
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as text files between an opening and a closing line, read as descriptions: their years and places."""
+    items = adapter.table(spark, sf_dir, "benchmark")
+    folder = _fresh(spark, "texts")
+    adapter.item_jds(items).write.partitionBy("item_id").text(folder)
+    jds = load_job_texts(spark, f"{folder}/*/*.txt", name_pattern="/item_id=([0-9]+)/")
+    found = jobs.feature_columns(jds)
+    return found.select("jd_id", "exp_min", "exp_max", F.concat_ws(",", "locations").alias("places"), F.char_length("text").alias("n_chars"))
+
+
+def nation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the nations' descriptions are relaxed, and which stay short."""
+    features = _nation_features(spark, sf_dir)
+    return pool.pool_status(pool.build_pool(adapter.candidates(spark, sf_dir), features, AS_OF), features)
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense ranking written as one CSV per description, read back and checked: no violation is expected."""
     out = _fresh(spark, "ranking")
@@ -313,6 +371,7 @@ def stream_tfidf_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         "gate_drop_counts": gate_drop_counts,
+        "pool_drop_counts": pool_drop_counts,
         "honeypot_reasons": honeypot_reasons,
         "honeypot_sample": honeypot_sample,
         "relaxed_pool": relaxed_pool,
@@ -336,6 +395,10 @@ def all_queries() -> dict[str, Query]:
         "tie_rerank": tie_rerank,
         "output_violations": output_violations,
         "json_roundtrip": json_roundtrip,
+        "json_arrays": json_arrays,
+        "malformed_lines": malformed_lines,
+        "text_files": text_files,
+        "nation_status": nation_status,
         "csv_roundtrip": csv_roundtrip,
         "file_violations": file_violations,
         "stream_stage1": stream_stage1,

@@ -5,7 +5,7 @@ import sys
 from pyspark import cloudpickle
 
 from rosterank.plans.jobs import extract_jd_features
-from rosterank.plans.pool import build_pool, drop_counts, honeypot_sample
+from rosterank.plans.pool import ShortPoolError, build_pool, drop_counts, honeypot_sample, pool_status
 from rosterank.plans.quality import check_files, violations
 from rosterank.plans.ranking import (
     explain_ranked,
@@ -13,11 +13,12 @@ from rosterank.plans.ranking import (
     score_pool,
     select_top,
 )
-from rosterank.sources.candidates import load_candidates
+from rosterank.sources.candidates import load_candidates, split_malformed
 from rosterank.sources.job_texts import load_job_texts
 from rosterank.sources.ranking_csv import read_ranking_rows, write_ranking_csv
 
 __all__ = [
+    "ShortPoolError",
     "build_pool",
     "check_files",
     "drop_counts",
@@ -26,10 +27,12 @@ __all__ = [
     "honeypot_sample",
     "load_candidates",
     "load_job_texts",
+    "pool_status",
     "rank_candidates",
     "read_ranking_rows",
     "score_pool",
     "select_top",
+    "split_malformed",
     "violations",
     "write_ranking_csv",
 ]

@@ -8,6 +8,7 @@ reach the file scan as constants. More than MAX_DESCRIPTIONS descriptions are me
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -147,12 +148,20 @@ def build_pool(candidates: DataFrame, features: DataFrame, as_of: dt.date, min_p
     pass without the location gate happens only when some description has fewer than ``min_pool`` survivors,
     and only for those descriptions. (With more than MAX_DESCRIPTIONS it reads the screened profiles, not the source.)
     """
-    none = F.array().cast("array<string>")
     if gate_board(features) is None:
-        screened = _screened(candidates, features, ~_trapped(as_of))
-        gated = lambda some, use: _by_signature(screened, some, use).select(*candidates.columns, "jd_ids")
-    else:
-        gated = lambda some, use: gate_profiles(candidates, some, as_of, use_location=use)
+        return _pool_of(_screened(candidates, features, ~_trapped(as_of)), candidates.columns, features, min_pool)
+    return _relaxed_if_short(
+        lambda some, use: gate_profiles(candidates, some, as_of, use_location=use), features, min_pool
+    )
+
+
+def _pool_of(screened: DataFrame, columns: list[str], features: DataFrame, min_pool: int) -> DataFrame:
+    gated = lambda some, use: _by_signature(screened, some, use).select(*columns, "jd_ids")
+    return _relaxed_if_short(gated, features, min_pool)
+
+
+def _relaxed_if_short(gated: Callable[[DataFrame, bool], DataFrame], features: DataFrame, min_pool: int) -> DataFrame:
+    none = F.array().cast("array<string>")
     strict = stage(gated(features, True), "pool").withColumn("relaxed_ids", none)
     counts = strict.select(F.explode("jd_ids").alias("jd_id")).groupBy("jd_id").count()
     enough = counts.filter(F.col("count") >= min_pool).select("jd_id")
@@ -165,6 +174,28 @@ def build_pool(candidates: DataFrame, features: DataFrame, as_of: dt.date, min_p
     return kept.unionByName(relaxed.withColumn("relaxed_ids", F.col("jd_ids")))
 
 
+def pool_with_counts(
+    candidates: DataFrame, features: DataFrame, as_of: dt.date, min_pool: int = MIN_POOL
+) -> tuple[DataFrame, DataFrame]:
+    """``build_pool`` and ``drop_counts`` from one scan of the profiles, for any number of descriptions.
+
+    The scan writes what the gates see of every profile, and the profile itself only if no gate of its own drops it.
+    """
+    seen = _seen(candidates, features, as_of)
+    sound = ~F.col("bad_title") & ~F.col("trap")
+    whole = [F.when(sound, F.col(f"`{c}`")).alias(c) for c in candidates.columns]
+    written = stage(seen.select(*SIGNATURE, "bad_title", "trap", *whole), "seen")
+    pool = _pool_of(written.filter(sound).drop("bad_title", "trap"), candidates.columns, features, min_pool)
+    return pool, _counts(written, features)
+
+
+def _seen(candidates: DataFrame, features: DataFrame, as_of: dt.date) -> DataFrame:
+    """``candidates`` with everything that the gates see of them: SIGNATURE, bad_title, trap (false after a bad title)."""
+    bad_title = gates.is_disqualified_title(F.col("profile.current_title"))
+    trap = F.when(F.col("bad_title"), F.lit(False)).otherwise(_trapped(as_of))
+    return with_signature(candidates, places_of(features)).withColumn("bad_title", bad_title).withColumn("trap", trap)
+
+
 def pool_pairs(pool: DataFrame) -> DataFrame:
     """(jd_id, candidate_id, relaxed), one row per profile and description it is in the running for."""
     return pool.select("candidate_id", "relaxed_ids", F.explode("jd_ids").alias("jd_id")).select(
@@ -172,6 +203,25 @@ def pool_pairs(pool: DataFrame) -> DataFrame:
     )
 
 
+def pool_status(pool: DataFrame, features: DataFrame, min_pool: int = MIN_POOL) -> DataFrame:
+    """(jd_id, pooled, relaxed, enough) of every description: ``enough`` is false if its pool stays short even relaxed."""
+    counts = pool_pairs(pool).groupBy("jd_id").agg(F.count(F.lit(1)).alias("pooled"), F.bool_or("relaxed").alias("relaxed"))
+    every = features.select("jd_id").join(counts, "jd_id", "left")
+    pooled = F.coalesce("pooled", F.lit(0).cast("bigint"))
+    return every.select("jd_id", pooled.alias("pooled"), F.coalesce("relaxed", F.lit(True)).alias("relaxed"), (pooled >= min_pool).alias("enough"))
+
+
+class ShortPoolError(ValueError):
+    """Some description has too few profiles to rank, even without its location gate."""
+
+
+def require_pools(pool: DataFrame, features: DataFrame, min_pool: int = MIN_POOL) -> None:
+    """Raise ShortPoolError, with the first few descriptions, if any pool has less than ``min_pool`` profiles."""
+    short = pool_status(pool, features, min_pool).filter("NOT enough").orderBy("jd_id").limit(10).collect()
+    if short:
+        raise ShortPoolError("too few profiles: " + ", ".join(f"{r['jd_id']} ({r['pooled']})" for r in short))
+
+
 def drop_counts(candidates: DataFrame, features: DataFrame, as_of: dt.date) -> DataFrame:
     """Per description: profiles processed, dropped at each gate and surviving, from one scan.
 
@@ -179,13 +229,10 @@ def drop_counts(candidates: DataFrame, features: DataFrame, as_of: dt.date) -> D
     the shuffle; only those groups meet the descriptions, by equality (see ``gate_index``). What a description drops
     for its location or years follows from what it doesn't drop.
     """
-    bad_title = gates.is_disqualified_title(F.col("profile.current_title"))
-    seen = with_signature(candidates, places_of(features)).select(
-        *SIGNATURE,
-        bad_title.alias("bad_title"),
-        F.when(bad_title, F.lit(False)).otherwise(_trapped(as_of)).alias("trap"),
-    )
+    return _counts(_seen(candidates, features, as_of).select(*SIGNATURE, "bad_title", "trap"), features)
+
 
+def _counts(seen: DataFrame, features: DataFrame) -> DataFrame:
     def number(which: Column, name: str) -> Column:
         return F.sum(F.when(which, F.col("n")).otherwise(F.lit(0))).alias(name)
 

@@ -17,7 +17,7 @@ from rosterank.operators.substrings import mutual_substrings
 from rosterank.operators.tfidf import MAX_TERMS, tfidf_similarity
 from rosterank.operators.topk import top_per_group
 from rosterank.plans.jobs import extract_jd_features, with_weight_levels
-from rosterank.plans.pool import MAX_DESCRIPTIONS, MIN_POOL, build_pool
+from rosterank.plans.pool import MAX_DESCRIPTIONS, MIN_POOL, build_pool, require_pools
 from rosterank.staging import stage
 
 FINAL_ROWS = 100
@@ -273,11 +273,13 @@ def rank_candidates(
     max_descriptions: int = MAX_DESCRIPTIONS,
     min_pool: int = MIN_POOL,
     max_terms: int = MAX_TERMS,
+    allow_short: bool = True,
 ) -> DataFrame:
     """The whole run: jds(jd_id, text[, embedding]) x candidates -> ranked, explained rows per description.
 
     ``min_pool`` is the number of survivors below which a description's location gate is dropped, ``max_terms`` the
-    size of a vocabulary.
+    size of a vocabulary. A description whose pool stays smaller than that gives a short list (``pool_status`` tells which),
+    or a ShortPoolError without ``allow_short``.
 
     All descriptions are gated in one scan. More than ``max_descriptions`` of them are then scored in hash blocks of
     about half that size, out of the written pool, and the results united.
@@ -289,6 +291,8 @@ def rank_candidates(
     blocks = 1 if count <= max_descriptions else -(-2 * count // max_descriptions)
     results = []
     every = build_pool(candidates, features, as_of, min_pool)
+    if not allow_short:
+        require_pools(every, features, min_pool)
     own = lambda jd_id, block: F.pmod(F.xxhash64(jd_id), F.lit(blocks)) == block
     for block in range(blocks):
         part, pool = features, every

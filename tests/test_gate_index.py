@@ -95,3 +95,41 @@ def test_nothing_to_gate(spark):
     features = spark.createDataFrame(described(3), FEATURES)
     assert pool.drop_counts(frame(spark, []), features, AS_OF).count() == 0
     assert pool.gate_profiles(frame(spark, peopled(5)), features.limit(0), AS_OF).count() == 0
+
+
+def test_pools_and_counts_from_one_scan(spark):
+    rows, descriptions = peopled(300, seed=4), described(40, seed=5)
+    people, features = frame(spark, rows), spark.createDataFrame(descriptions, FEATURES)
+    found, counts = pool.pool_with_counts(people, features, AS_OF, 30)
+    key = lambda df: sorted((r["candidate_id"], r["jd_id"], r["relaxed"]) for r in pool.pool_pairs(df).collect())
+    assert key(found) == key(pool.build_pool(people, features, AS_OF, 30))
+    assert sorted(map(str, counts.collect())) == sorted(map(str, pool.drop_counts(people, features, AS_OF).collect()))
+    assert {r["candidate_id"]: r["profile"] for r in found.collect()} == {r["candidate_id"]: r["profile"] for r in people.collect() if r["candidate_id"] in {x["candidate_id"] for x in found.collect()}}
+
+
+def test_short_pools_are_told_or_refused(spark):
+    import pytest
+    from rosterank import ShortPoolError, pool_status, rank_candidates
+
+    rows = peopled(300, seed=4)
+    jds = spark.createDataFrame([("many", "0 to 40 years. Python"), ("few", "13 to 13 years. Kochi"), ("none", "30+ years")], "jd_id string, text string")
+    from rosterank.plans import jobs
+
+    features = jobs.extract_jd_features(jds)
+    people = frame(spark, rows)
+    status = {r["jd_id"]: r for r in pool_status(pool.build_pool(people, features, AS_OF), features).collect()}
+    assert status["many"]["enough"] and not status["many"]["relaxed"] and status["many"]["pooled"] >= 100
+    assert status["few"]["relaxed"] and not status["few"]["enough"] and 0 < status["few"]["pooled"] < 100
+    assert (status["none"]["pooled"], status["none"]["enough"]) == (0, False)
+    with pytest.raises(ShortPoolError, match="few .*none"):
+        rank_candidates(people, jds, AS_OF, allow_short=False)
+
+
+def test_malformed_records_are_split_off(spark, tmp_path):
+    from rosterank import load_candidates, split_malformed
+
+    (tmp_path / "a.jsonl").write_text('{"candidate_id": "CAND_0000001"}\n{"candidate_id": \n\nnot JSON\n{"profile": {"location": "Pune"}}\n')
+    sound, others = split_malformed(load_candidates(spark, str(tmp_path / "a.jsonl"), keep_malformed=True))
+    assert [r["candidate_id"] for r in sound.collect()] == ["CAND_0000001"] and "_corrupt_record" not in sound.columns
+    raw = sorted(r["raw"] for r in others.collect())
+    assert len(raw) == 3 and raw[0] == "not JSON" and any("Pune" in r for r in raw)
