@@ -33,12 +33,14 @@ from rosterank.llm.common import columns, stage
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long, ids array<int>"
 )
-#: Entries of a task's word cache; a single group of texts may exceed it for its own time.
+#: Entries of a worker's word cache; a single group of texts may exceed it for its own time.
 CACHE_WORDS = 600_000
 GROUP_CHARS = 1_500_000
-#: How the tokenizer cuts lower-cased text into words (fixed value of its file), and the characters with which this
+#: Letters up to U+024F.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: How the tokenizer cuts lower-cased text into words (by a fixed value of its file), and the characters with which this
 #: wording of it could mean something else: from other scripts, numbers that aren't digits, separators, special tokens.
-WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+WORDS = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 UNSAFE = re.compile("[\u0250-\U0010ffff\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|<\\|")
 #: The rules for which WORDS and UNSAFE are worded (fixed values of the tokenizer's file).
 NORMALIZERS, SUFFIX = ["NFC", "Replace", "Lowercase"], "</w>"
@@ -111,8 +113,12 @@ def tokenise(
     if not known_rules(Tokenizer.from_file(tokenizer_path)):
         raise ValueError(f"{tokenizer_path} cuts texts into words by other rules than this module")
 
+    kept = documents.sparkSession.sparkContext.broadcast({})  # in each Python worker: its cache, for all tasks it takes
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(Tokenizer.from_file(tokenizer_path))
+        if "cache" not in kept.value:
+            kept.value["cache"] = WordCache(Tokenizer.from_file(tokenizer_path))
+        cache = kept.value["cache"]
         end = np.asarray([end_id], "<u4").tobytes()
         task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         width = 4 * capacity
