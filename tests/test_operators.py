@@ -2,7 +2,8 @@ import random
 from collections import Counter
 
 from pyspark.sql import functions as F
-from rosterank.operators import lookup, tfidf
+from rosterank.functions import search
+from rosterank.operators import dense, lookup, tfidf
 from rosterank.operators.neighbours import with_next
 from rosterank.operators.topk import top_per_group
 
@@ -67,3 +68,61 @@ def test_tfidf_against_hand_computation(spark):
     norm = math.sqrt(two**2 + tf2**2 + two**2 + one**2) * math.sqrt(3 * two**2)
     assert abs(got[1].similarity - dot / norm) < 1e-12
     assert (got[1].semantic, got[2].semantic, got[3].semantic) == (1.0, 0.0, 0.0)
+
+
+VECTORS = [[1.0, 0.0, 2.0], [0.5, -1.0, 0.25], [0.0, 0.0, 0.0], None, [], [1.0, None, 2.0], [float("nan"), 1.0, 1.0], [1.0, 2.0], [3.0, 4.0, 0.0]]
+
+
+def plain_cosine(a, b):
+    import math
+
+    if not a or not b or len(a) != len(b) or any(x is None or not math.isfinite(x) for x in [*a, *b]):
+        return 0.0
+    length = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+    return sum(x * y for x, y in zip(a, b)) / length if length else 0.0
+
+
+def test_cosines_of_sound_and_odd_vectors(spark):
+    pairs = [(i, j, a, b) for i, a in enumerate(VECTORS) for j, b in enumerate(VECTORS)]
+    df = spark.createDataFrame(pairs, "i int, j int, a array<double>, b array<double>")
+    for r in dense.with_cosine(df, "a", "b", "c").collect():
+        assert abs(r.c - plain_cosine(VECTORS[r.i], VECTORS[r.j])) < 1e-12
+    references = spark.createDataFrame([(f"r{j}", b) for j, b in enumerate(VECTORS)], "jd_id string, v array<double>")
+    listed = [f"r{j}" for j in range(len(VECTORS))]
+    rows = spark.createDataFrame([(i, a, listed if i % 2 else [*listed[::-1], "unknown"]) for i, a in enumerate(VECTORS)] + [(99, [1.0, 1.0, 1.0], None)], "i int, e array<double>, ids array<string>")
+    for r in dense.with_cosines(rows, references, key="jd_id", of="v", ids="ids", vector="e", output="c").collect():
+        if r.i == 99:
+            assert r.c is None
+            continue
+        want = [0.0 if name == "unknown" else plain_cosine(VECTORS[r.i], VECTORS[int(name[1:])]) for name in r.ids]
+        assert all(abs(x - y) < 1e-12 for x, y in zip(r.c, want, strict=True))
+
+
+def test_word_counts_equal_plain_counts():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice("aab-1 .é") for _ in range(rng.randrange(120)))
+        words = sorted({"".join(rng.choice("aab-1") for _ in range(rng.randrange(1, 5))) for _ in range(12)})
+        assert search.count_in(text, words) == [float(text.count(w)) for w in words]
+    assert search.count_in("", ["a"]) == [0.0] and search.count_in("aaa", []) == []
+
+
+def test_counting_grows_with_the_text():
+    import time
+
+    def seconds(n):
+        words = [f"w{i:x}x{i * 7919 % 9973:x}" for i in range(n)]
+        start = time.perf_counter()
+        assert sum(search.count_in(" ".join(words), words)) >= n
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 30 * seconds(2_000)  # eight times the words; a search per word would take 64 times as long
+
+
+def test_held_terms(spark):
+    terms = ["ab", "b", "abc", "x y", "é"]
+    texts = ["abcd", "", None, "x  y", "x yé", "B"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(search.held_terms(F.col("t"), terms)).collect()]
+    assert got == [[k for k, term in enumerate(terms) if term in (t or "")] for t in texts]
