@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterank.operators.lookup import join_lookup
 from rosterank.operators.neighbours import with_next
 from rosterank.schemas import RANKING_COLUMNS
-from rosterank.sources.ranking_csv import read_ranking_rows
+from rosterank.sources.ranking_csv import file_name, read_ranking_rows
 from rosterank.staging import stage
 
 EXPECTED_ROWS = 100
@@ -126,12 +128,12 @@ def check_files(spark: SparkSession, path: str, expected_rows: int = EXPECTED_RO
     """All rules on the ranking files under ``path``: names, emptiness, encoding, then ``violations``."""
     # A scan skips files without content, so names come from the file listing and the empty ones are what is left.
     binary = spark.read.format("binaryFile").load(path)
-    files = spark.createDataFrame([(f,) for f in binary.inputFiles()], "file STRING")
+    files = spark.createDataFrame([(unquote(f),) for f in binary.inputFiles()], "file STRING")
     key = F.regexp_replace("file", "^([a-z0-9]+):/+", "$1:/")  # the two sources write "file:/" differently
     filled = binary.select(F.col("path").alias("file")).select(key.alias("key"))
     named = _report(files.filter(~F.lower("file").endswith(".csv")), "file_name", F.lit("not a .csv file"))
     empty = _report(files.withColumn("key", key).join(filled, "key", "left_anti"), "empty_file", F.lit("no header row"))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(path).select(file_name().alias("file"), "value")
     broken = lines.filter(~F.is_valid_utf8("value")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     encoding = _report(broken, "not_utf8", F.concat(F.col("n").cast("string"), F.lit(" lines")))
     # every rule reads the rows: they are parsed once and written

@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rosterank.operators.lookup import join_lookup
@@ -28,6 +28,11 @@ def write_ranking_csv(ranked: DataFrame, path: str, *, by_description: bool = Fa
     writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def file_name() -> Column:
+    """The scanned file's path with its characters as they are; a plus sign stands for itself in paths."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
 #: What a character does to the reader at the start of a field, inside a plain one, inside quotes, and after a quote there.
 _FIELD, _PLAIN, _QUOTED, _CLOSED = range(4)
 
@@ -155,7 +160,7 @@ def read_ranking_rows(spark: SparkSession, path: str) -> DataFrame:
     quotes, a file's splits are put together from that, and then every split parses the records that end in it.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value"), F.col("_metadata.file_size").alias("size")
+        file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value"), F.col("_metadata.file_size").alias("size")
     )
     broken = stage(lines.filter(~F.is_valid_utf8("value")).select("file").distinct(), "broken-files")
     raw = lines.select("file", "start", F.col("value").cast("binary").alias("line"))

@@ -6,7 +6,7 @@ import random
 import re
 
 import pytest
-from rosterank import read_ranking_rows
+from rosterank import check_files, read_ranking_rows
 
 
 def standard(text):
@@ -54,3 +54,15 @@ def test_splits_give_the_rows_of_the_whole_file(spark, tmp_path, tiny_splits):
         got[int(re.search(r"(\d+)\.csv$", file)[1])].append(tuple(rest))
     assert {n: sorted(rows, key=lambda x: x[0]) for n, rows in got.items()} == want
     assert sum(any("\n" in (c or "") for c in row[2:]) for rows in want.values() for row in rows) > 8
+
+
+def test_names_with_blanks_and_signs(spark, tmp_path):
+    folder = tmp_path / "middle east +1 50%"
+    folder.mkdir()
+    lines = ["candidate_id,rank,score,reasoning", *(f"CAND_{i:07d},{i},{1 - i / 1000},text" for i in range(1, 101))]
+    (folder / "a b.csv").write_text("\n".join(lines))
+    (folder / "c+d.csv").write_text("")
+    pattern = f"{tmp_path}/*/*.csv"
+    assert {r["file"].rpartition("/")[2] for r in read_ranking_rows(spark, pattern).collect()} == {"a b.csv"}
+    found = [(r["rule"], r["file"].rpartition(str(tmp_path))[2]) for r in check_files(spark, pattern).collect()]
+    assert found == [("empty_file", "/middle east +1 50%/c+d.csv")]
