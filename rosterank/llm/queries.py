@@ -42,6 +42,7 @@ ORACLES: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op2_decontaminate": decontaminate.SQL,
     "op4_secrets": secrets.SQL,
+    "op7_suffixes": suffixes.SQL,
     "op8_blocks": blocks.SQL,
     "op10_jaccard": jaccard.SQL,
     "op11_rotation": rotation.SQL,

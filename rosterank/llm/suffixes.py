@@ -447,3 +447,30 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated strings of 100 bytes in all documents."""
     cleaned = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_bytes=False)
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Windows of 100 bytes as 200 hexadecimal digits.
+SQL = """
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT r, i, substr(h, 2 * i + 1, 200) AS s
+  FROM (SELECT r, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS i FROM d)
+), n AS (
+  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS turn FROM w) WHERE turn > 1
+), g AS (
+  SELECT r, i, sum(CASE WHEN i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run
+  FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) AS before FROM n)
+), m AS (
+  SELECT r, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY r, run
+), k AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), -1) AS next FROM m
+), c AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)) || CASE WHEN next < 0 THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+  FROM k JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
+"""
