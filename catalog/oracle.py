@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from catalog import phrases
 from rosterank import vocab
 
+# Thresholds, points, weights, patterns, rule names and wordings below are those that results have to equal.
 AS_OF = "DATE '2024-01-31'"
 
 
