@@ -107,10 +107,18 @@ def fold_accents(column: Column) -> Column:
     return F.when(column.rlike(r"[^\x00-\x7f]"), F.translate(whole, chars, forms)).otherwise(column)
 
 
+NO_WORD = WORD.replace("[", "[^", 1) + "+"
+
+
 def words(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(WORD + "{2,}"), F.lit(0))
 
 
+def spaced_words(folded: Column) -> Column:
+    """The text with one space instead of everything between its runs of word characters."""
+    return F.regexp_replace(folded, NO_WORD, " ")
+
+
 def with_pairs(tokens: Column) -> Column:
     """Single words followed by the pairs of neighbouring words."""
     rest = F.greatest(F.size(tokens) - 1, F.lit(0))

@@ -126,3 +126,30 @@ def test_held_terms(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(search.held_terms(F.col("t"), terms)).collect()]
     assert got == [[k for k, term in enumerate(terms) if term in (t or "")] for t in texts]
+
+
+def test_terms_as_numbers_order_and_count_like_strings(spark, monkeypatch):
+    """Repeated ids, accents, short words and the same vocabulary whether terms are counted as numbers or as strings."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abAé_1") for _ in range(rng.randrange(1, 4)))
+    rows = [(n // 2 if n < 6 else n, ["j"] if n % 3 else ["j", "k"], rng.choice([" ", "-", "\n", "\x00"]).join(word() for _ in range(rng.randrange(30)))) for n in range(60)]
+    texts = spark.createDataFrame([*rows, (99, ["j"], None)], "text_id int, jd_ids array<string>, text string")
+    jds = spark.createDataFrame([("j", "ab éa ab_1"), ("k", "")], "jd_id string, text string")
+    found = []
+    for most in (tfidf.MAX_WORDS, 3):
+        monkeypatch.setattr(tfidf, "MAX_WORDS", most)
+        found.append(sorted(map(str, tfidf.fit_vocabulary(texts, jds, 40).collect())))
+    assert found[0] == found[1] and len(found[0]) == 80
+    for n, rows in enumerate((found[0], tfidf.tfidf_similarity(texts, jds, 40).collect())):
+        assert n == 0 or len(rows) == 61 + sum("k" in r[1] for r in texts.collect())
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """Before, every text went through an exchange and every term of it into a table."""
+    import re
+
+    texts = spark.createDataFrame([(n, ["j"], f"word{n % 7} text") for n in range(50)], "text_id int, jd_ids array<string>, text string")
+    single, several = tfidf.one_per_id(texts)
+    assert several is None
+    plan = tfidf.counts_of_sets(single.selectExpr("xxhash64(jd_ids) set_id", "text"), None)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange", plan) and "InArrow" in plan
