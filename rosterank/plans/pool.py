@@ -272,9 +272,11 @@ def honeypot_sample(candidates: DataFrame, features: DataFrame, as_of: dt.date,
         found = _by_signature(_screened(candidates, features, _trapped(as_of)), features, True)
     else:
         found = _trapped_block(candidates, board, as_of)
-    trapped = found.select(F.explode("jd_ids").alias("jd_id"), "candidate_id", "profile", "skills", "career_history")
+    # the reason goes along instead of the profile, so that what is sorted is small
+    told = found.select("jd_ids", "candidate_id", _trap(as_of).alias("honeypot_reason"))
+    trapped = told.select(F.explode("jd_ids").alias("jd_id"), "candidate_id", "honeypot_reason")
     first = top_per_group(trapped, ["jd_id"], [F.asc("candidate_id")], n, spread_by=["candidate_id"])
-    return first.select("jd_id", "candidate_id", _trap(as_of).alias("honeypot_reason"), "rank")
+    return first.select("jd_id", "candidate_id", "honeypot_reason", "rank")
 
 
 def _trapped_block(candidates: DataFrame, board: Gates, as_of: dt.date) -> DataFrame:
