@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Maximal runs of the characters that plain words consist of: no word lies across two of them.
 RUN = re.compile("[a-z0-9-]+")
+#: Texts of a batch that are Python objects at a time.
+ROWS_AT_ONCE = 64
 
 
 def held_terms(low_text: Column, terms: Sequence[str]) -> Column:
@@ -28,8 +30,11 @@ def held_terms(low_text: Column, terms: Sequence[str]) -> Column:
             automaton.add_word(term, place)
         automaton.make_automaton()
         for texts in batches:
-            found = [sorted({place for _, place in automaton.iter(t)}) if t else [] for t in texts.to_pylist()]
-            yield pa.array(found, pa.list_(pa.int32()))
+            parts = []
+            for at in range(0, max(len(texts), 1), ROWS_AT_ONCE):
+                found = [sorted({place for _, place in automaton.iter(t)}) if t else [] for t in texts[at : at + ROWS_AT_ONCE].to_pylist()]
+                parts.append(pa.array(found, pa.list_(pa.int32())))
+            yield pa.concat_arrays(parts)
 
     return F.arrow_udf(search, "array<int>")(low_text)
 
@@ -60,7 +65,10 @@ def occurrences(low_text: Column, words: Column) -> Column:
 
     def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, sought in batches:
-            found = [None if w is None else count_in(t or "", w) for t, w in zip(texts.to_pylist(), sought.to_pylist(), strict=True)]
-            yield pa.array(found, pa.list_(pa.float64()))
+            parts = []  # of each batch some texts at a time are Python objects
+            for at in range(0, max(len(texts), 1), ROWS_AT_ONCE):
+                some = zip(texts[at : at + ROWS_AT_ONCE].to_pylist(), sought[at : at + ROWS_AT_ONCE].to_pylist(), strict=True)
+                parts.append(pa.array([None if w is None else count_in(t or "", w) for t, w in some], pa.list_(pa.float64())))
+            yield pa.concat_arrays(parts)
 
     return F.arrow_udf(count, "array<double>")(F.when(words.isNotNull(), low_text), words)
