@@ -16,6 +16,7 @@ from catalog import phrases
 from rosterank.functions.basics import literal
 
 AS_OF = dt.date(2024, 1, 31)
+SPREAD_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table whose file has fewer splits than there are cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Use all cores for a table whose file has fewer splits than there are cores, and tasks of at most SPREAD_ROWS rows on
+    average, because what is derived from a row can be a hundred times as large; scans with enough splits stay as they are."""
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SPREAD_ROWS))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def pick(values: Sequence[str | None], index: Column) -> Column:
@@ -198,7 +200,7 @@ def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.floor("o_totalprice")
     place = k % 100
     base = F.lit(0.99) - place * F.lit(0.005)
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.concat(F.lit("file_"), F.floor(k / 100).cast("string")).alias("file"),
         (place + 2).alias("row_num"),
         F.when(k % 113 == 0, F.lit(5)).otherwise(F.lit(4)).alias("n_cells"),

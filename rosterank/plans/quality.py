@@ -40,7 +40,9 @@ def _report(df: DataFrame, rule: str, detail: Column, row_num: Column | None = N
 def _repeats(rows: DataFrame, column: str) -> DataFrame:
     """Second and later rows of a value within a file. Only repeated values are joined back."""
     repeated = stage(
-        rows.groupBy("file", column)
+        rows.select("file", column, "row_num")
+        .repartition("file", column)  # nearly all values differ: combining them before the shuffle would hold a whole scan
+        .groupBy("file", column)
         .agg(F.min("row_num").alias("first_row"), F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
         .drop("n"),
@@ -87,7 +89,7 @@ def violations(rows: DataFrame, expected_rows: int = EXPECTED_ROWS) -> DataFrame
         .distinct()
         .withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(expected_rows))))
         .select("file", F.col("place").cast("decimal(38,0)").alias("rank"))
-        .join(ranked.select("file", "rank").distinct(), ["file", "rank"], "left_anti")
+        .join(ranked.select("file", "rank").repartition("file", "rank").distinct(), ["file", "rank"], "left_anti")
     )
     comparable = parsed.filter(F.col("rank").isNotNull() & F.col("score").isNotNull() & (F.col("cid") != ""))
     led = with_next(
