@@ -24,6 +24,7 @@ from rosterank.staging import stage, staging_root
 from rosterank.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
+FILE_ROWS = 50_000  # profiles of one compressed file, which no reader can split
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,10 +329,15 @@ def nation_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arriving(spark: SparkSession, people: DataFrame, *, embeddings: bool = False) -> DataFrame:
-    """The profiles as a stream of files, some per batch, so that pools grow from batch to batch."""
+    """The profiles as a stream of files, a third of them per batch, so that pools grow from batch to batch.
+
+    There are 12 files at least. They are written where the profiles are made, and compressed: profiles are never shuffled.
+    """
     inbox = _fresh(spark, "inbox")
-    people.repartition(12).write.json(inbox)
-    return arrivals.read_arrivals(spark, inbox, embeddings=embeddings, files_per_batch=4)
+    each = min(FILE_ROWS, max(1, -(-people.count() // 12)))
+    people.write.option("maxRecordsPerFile", each).option("compression", "gzip").json(inbox)
+    files = len(spark.read.text(inbox).inputFiles())
+    return arrivals.read_arrivals(spark, inbox, embeddings=embeddings, files_per_batch=max(1, -(-files // 3)))
 
 
 def stream_stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
