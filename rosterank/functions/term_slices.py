@@ -84,10 +84,34 @@ def slice_words(texts: pa.Array) -> pa.Array:
     return tokens.filter(pc.greater(pc.utf8_length(tokens), 1))
 
 
+def set_words(set_ids: pa.Array, texts: pa.Array, max_terms: int) -> Iterator[pa.RecordBatch]:
+    """(set_id, word, n) of the texts of a slice, how often they hold the word; with a null word, n is how often the slice holds
+    the set's term that is the ``max_terms``-th in frequency (1 if there are fewer)."""
+    terms = Terms.of(texts)
+    known, place = np.unique(set_ids.to_numpy(zero_copy_only=False), return_inverse=True)
+    n = len(terms.words)
+    span = max(n + n * n, 1)
+    keys = place[terms.row] * span + terms.code
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    cf = np.add.reduceat(terms.tf[order], first) if len(first) else first
+    at, code = np.divmod(keys[first], span)
+    bounds = np.ones(len(known), np.int64)
+    edges = np.searchsorted(at, np.arange(len(known) + 1))
+    for k, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
+        if end - start >= max_terms:
+            bounds[k] = np.partition(cf[start:end], end - start - max_terms)[end - start - max_terms]
+    single = code < n
+    batch = lambda ids, words, counts: pa.RecordBatch.from_arrays([pa.array(ids), words, pa.array(counts.astype(np.int64))], names=["set_id", "word", "n"])
+    yield batch(known, pa.nulls(len(known), pa.string()), bounds)
+    yield batch(known[at[single]], terms.words.take(pa.array(code[single])), cf[single])
+
+
 def set_counts(set_ids: pa.Array, texts: pa.Array, words: pa.Array | None) -> pa.RecordBatch:
     """(set_id, term, cf, df) over the texts of a slice.
 
-    With ``words``, all words in ascending order, a term is ``first << 32 | second + 1`` (a single word's second is 0) by their
+    With ``words``, in ascending order, terms with other words are left out, and a term is ``first << 32 | second + 1`` (a single word's second is 0) by their
     places there. That has the order of the terms themselves, because no character of a word is as small as the space.
     """
     terms = Terms.of(texts)
@@ -103,13 +127,17 @@ def set_counts(set_ids: pa.Array, texts: pa.Array, words: pa.Array | None) -> pa
     at, code = np.divmod(keys[first], span)
     single = code < n
     a, b = terms.parts(code[~single])
+    listed = slice(None)
     if words is None:
         pairs = pc.binary_join_element_wise(terms.words.take(pa.array(a)), terms.words.take(pa.array(b)), " ")
         written = pa.concat_arrays([terms.words.take(pa.array(code[single])), pairs])
     else:
-        ids = pc.index_in(terms.words, value_set=words).to_numpy(zero_copy_only=False).astype(np.int64)
-        written = pa.array(np.concatenate([ids[code[single]] << 32, ids[a] << 32 | ids[b] + 1]))
-    by_kind = lambda x: pa.array(np.concatenate([x[single], x[~single]]).astype(np.int64))
+        ids = pc.fill_null(pc.index_in(terms.words, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([ids[code[single]], ids[b]])
+        written = np.concatenate([ids[code[single]] << 32, ids[a] << 32 | ids[b] + 1])
+        listed = (ends >= 0) & (written >= 0)
+        written = pa.array(written[listed])
+    by_kind = lambda x: pa.array(np.concatenate([x[single], x[~single]])[listed].astype(np.int64))
     return pa.RecordBatch.from_arrays([by_kind(known[at]), written, by_kind(cf), by_kind(df)], names=["set_id", "term", "cf", "df"])
 
 
