@@ -45,13 +45,13 @@ def experience_range(low_text: Column) -> Column:
 
 def _vocabulary_rows() -> list[dict]:
     return [
-        {"term": term, "weight": vocab.TIER_WEIGHTS[tier][0], "unnamed_weight": vocab.TIER_WEIGHTS[tier][1]}
+        {"term": term, "weight": vocab.TIER_WEIGHTS[tier][0]}
         for tier, term in vocab.tiered_terms()
     ]
 
 
 def _vocabulary() -> Column:
-    return literal(_vocabulary_rows(), "array<struct<term:string,weight:double,unnamed_weight:double>>")
+    return literal(_vocabulary_rows(), "array<struct<term:string,weight:double>>")
 
 
 def held(low_text: Column) -> Column:
@@ -125,13 +125,18 @@ def by_weight(entries: Column) -> Column:
 
 
 def combined_weights(skill_weights: Column) -> Column:
-    """The description's terms plus the rest of the vocabulary at its reduced weight."""
+    """The description's terms plus the rest of the vocabulary at its reduced weight.
+
+    Each term of the vocabulary is there once, tier after tier, so the rest of a tier is a difference of sets.
+    """
     named = F.transform(skill_weights, lambda e: e["term"])
-    rest = F.filter(_vocabulary(), lambda v: ~F.array_contains(named, v["term"]))
-    return F.concat(
-        skill_weights,
-        F.transform(rest, lambda v: F.struct(v["term"].alias("term"), v["unnamed_weight"].alias("weight"))),
-    ).cast(TERM)
+
+    def rest(tier: int) -> Column:
+        left = F.array_except(strings([term for at, term in vocab.tiered_terms() if at == tier]), named)
+        return F.transform(left, lambda t: F.struct(t.alias("term"), F.lit(vocab.TIER_WEIGHTS[tier][1]).alias("weight")))
+
+    tiers = dict.fromkeys(tier for tier, _ in vocab.tiered_terms())
+    return F.concat(skill_weights, *[rest(tier) for tier in tiers]).cast(TERM)
 
 
 def weight_levels(terms: Column) -> Column:

@@ -79,6 +79,10 @@ def with_weight_levels(features: DataFrame) -> DataFrame:
 
 
 def combined_weight_rows(features: DataFrame) -> DataFrame:
-    """(jd_id, term, weight): the description's own terms over the vocabulary's reduced weights."""
-    terms = features.select("jd_id", F.explode(jd_text.combined_weights(F.col("skill_weights"))).alias("e"))
+    """(jd_id, term, weight): the description's own terms over the vocabulary's reduced weights.
+
+    No list is empty, for it has the whole vocabulary; a plain ``explode`` would make each list twice, to ask that first.
+    """
+    terms = features.filter(F.col("skill_weights").isNotNull())
+    terms = terms.select("jd_id", F.explode_outer(jd_text.combined_weights(F.col("skill_weights"))).alias("e"))
     return terms.select("jd_id", "e.term", "e.weight")

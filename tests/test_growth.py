@@ -2,7 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+from rosterank import vocab
+from rosterank.functions import jd_text
 from rosterank.operators import tfidf
+from rosterank.plans import jobs
 
 
 def test_rare_words_are_not_numbered(spark, monkeypatch):
@@ -30,3 +34,22 @@ def test_rare_words_are_not_numbered(spark, monkeypatch):
     assert kinds and all(n is not None and n < 30 for n in kinds)
     monkeypatch.setattr(tfidf, "MAX_BROADCAST_ROWS", 20)  # several passes
     assert found() == want
+
+
+def test_combined_weights_are_made_once(spark):
+    terms = vocab.tiered_terms()
+    features = spark.createDataFrame(
+        [("a", [(terms[3][1], 3.0), ("other", 1.0), (terms[-1][1], 1.0)]), ("b", []), ("c", None)],
+        "jd_id string, skill_weights array<struct<term:string,weight:double>>",
+    )
+    rows = jobs.combined_weight_rows(features)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["jd_id"], []).append((r["term"], r["weight"]))
+    rest = lambda known: [(t, vocab.TIER_WEIGHTS[tier][1]) for tier, t in terms if t not in known]
+    assert got["a"] == [(terms[3][1], 3.0), ("other", 1.0), (terms[-1][1], 1.0), *rest({terms[3][1], terms[-1][1]})]
+    assert got["b"] == rest(()) and set(got) == {"a", "b"}
+    lists = features.select(jd_text.combined_weights(F.col("skill_weights")).alias("l")).filter("l is not null").collect()
+    assert [[tuple(e) for e in r["l"]] for r in lists] == [got["a"], got["b"]]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_except") == len(vocab.TIER_WEIGHTS)  # before, the lists were made in a filter as well
