@@ -17,6 +17,7 @@ from rosterank.functions.basics import literal
 
 AS_OF = dt.date(2024, 1, 31)
 SPREAD_ROWS = 200_000
+GROUPED_ROWS = 50_000  # profiles of a task that holds whole groups of them as text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,8 +83,12 @@ def _skills(k: Column, c: Column, p: Column) -> Column:
     return F.when(c % 17 != 0, F.transform(F.sequence(F.lit(0).cast("bigint"), c % 9), skill))
 
 
-def candidates(spark: SparkSession, sf_dir: str, *, summaries: bool = False, embeddings: bool = False) -> DataFrame:
-    """One profile per order. ``summaries`` adds a whole document as summary, ``embeddings`` a vector."""
+def candidates(spark: SparkSession, sf_dir: str, *, summaries: bool = False, embeddings: bool = False, together: int | None = None) -> DataFrame:
+    """One profile per order. ``summaries`` adds a whole document as summary, ``embeddings`` a vector.
+
+    ``together`` puts the profiles of so many consecutive order keys into one task, with their number as ``file``: orders are
+    moved before profiles, which are twenty times as large, are made of them.
+    """
     orders = spread(table(spark, sf_dir, "orders"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     p = F.floor("o_totalprice")
@@ -108,6 +113,10 @@ def candidates(spark: SparkSession, sf_dir: str, *, summaries: bool = False, emb
         n_vectors = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1))).scalar()
         rows = rows.join(vectors, k % n_vectors == F.col("vec_id"), "left")
         extra = [F.col("embedding")]
+    if together:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-orders.count() // GROUPED_ROWS))
+        rows = rows.withColumn("file", F.floor(k / together)).repartition(tasks, "file")
+        extra = [*extra, F.col("file")]
     signals = F.struct(
         F.when(k % 5 != 1, k % 5 == 0).alias("willing_to_relocate"),
         active.alias("last_active_date"),

@@ -241,15 +241,18 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles in JSON arrays, one per 100 orders, and in JSON lines; each is read by what its path ends with."""
+    """Profiles in JSON arrays, one per 100 orders, and in JSON lines; each is read by what its path ends with.
+
+    Both are written compressed. Profiles are made where their array is: it is the orders that are shuffled.
+    """
     rows = adapter.candidates(spark, sf_dir)
-    number = F.substring("candidate_id", 6, 20).cast("bigint")
     whole = F.struct(*[c for c in rows.columns])
-    packed = rows.groupBy(F.floor(number / 100).alias("file")).agg(F.collect_list(F.to_json(whole)).alias("l"))  # 100 at most
+    grouped = adapter.candidates(spark, sf_dir, together=100)
+    packed = grouped.groupBy("file").agg(F.collect_list(F.to_json(whole)).alias("l"))  # 100 at most
     arrays, lines = _fresh(spark, "arrays"), _fresh(spark, "lines") + ".jsonl"
-    packed.select("file", F.concat(F.lit("["), F.array_join("l", ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").text(arrays)
-    rows.select(F.to_json(whole).alias("value")).write.text(lines)
-    read = load_candidates(spark, f"{arrays}/*/*.txt").withColumn("format", F.lit("array"))
+    packed.select("file", F.concat(F.lit("["), F.array_join("l", ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").option("compression", "gzip").text(arrays)
+    rows.select(F.to_json(whole).alias("value")).write.option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(lines)
+    read = load_candidates(spark, f"{arrays}/*").withColumn("format", F.lit("array"))
     read = read.unionByName(load_candidates(spark, lines).withColumn("format", F.lit("lines")))
     return read.select(
         "format", "candidate_id", F.col("profile.years_of_experience").alias("yoe"), F.col("profile.current_title").alias("title"),

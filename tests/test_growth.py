@@ -1,12 +1,16 @@
 """Work that has to grow with the input and no faster."""
 
+import datetime as dt
 import random
+from pathlib import Path
 
+from catalog import registry
 from pyspark.sql import functions as F
 from rosterank import vocab
 from rosterank.functions import jd_text
 from rosterank.operators import tfidf
 from rosterank.plans import jobs
+from rosterank.staging import staging_root
 
 
 def test_rare_words_are_not_numbered(spark, monkeypatch):
@@ -53,3 +57,19 @@ def test_combined_weights_are_made_once(spark):
     assert [[tuple(e) for e in r["l"]] for r in lists] == [got["a"], got["b"]]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_except") == len(vocab.TIER_WEIGHTS)  # before, the lists were made in a filter as well
+
+
+def test_array_files_are_compressed(spark, tmp_path):
+    """Before, arrays and lines were written as they are, and profiles shuffled."""
+    day = dt.datetime(2023, 5, 1)
+    orders = [(k, k % 40, "O", 100.0 + k, day, "1-URGENT") for k in [*range(0, 450, 3), 7, 7, 12_345_678]]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(n, n % 20, "click") for n in range(60)], "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    root = Path(staging_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    rows = registry.json_arrays(spark, str(tmp_path)).collect()
+    each = {kind: sorted(tuple(r)[1:] for r in rows if r["format"] == kind) for kind in ("array", "lines")}
+    assert each["array"] == each["lines"] and len(each["lines"]) == len(orders)
+    made = [f for folder in set(root.iterdir()) - before for f in folder.rglob("part-*") if folder.name.startswith(("arrays", "lines"))]
+    assert len([f for f in made if f.parent.name.startswith("file=")]) == 6
+    assert made and all(f.name.endswith(".txt.gz") for f in made)
