@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rosterank.operators.lookup import join_lookup
 from rosterank.operators.neighbours import with_next
 from rosterank.schemas import RANKING_COLUMNS
-from rosterank.sources.ranking_csv import file_name, read_ranking_rows
+from rosterank.sources.ranking_csv import file_lines, parse_rows, split_facts
 from rosterank.staging import stage
 
 EXPECTED_ROWS = 100
@@ -128,17 +128,18 @@ def violations(rows: DataFrame, expected_rows: int = EXPECTED_ROWS) -> DataFrame
 
 def check_files(spark: SparkSession, path: str, expected_rows: int = EXPECTED_ROWS) -> DataFrame:
     """All rules on the ranking files under ``path``: names, emptiness, encoding, then ``violations``."""
-    # A scan skips files without content, so names come from the file listing and the empty ones are what is left.
-    binary = spark.read.format("binaryFile").load(path)
-    files = spark.createDataFrame([(unquote(f),) for f in binary.inputFiles()], "file STRING")
+    # A scan skips files without content, so names come from the file listing and the empty ones are what is left. Files are
+    # listed once and scanned twice, for facts of whole files and for their rows: with many small files that is the time.
+    lines = file_lines(spark, path)
+    facts = split_facts(lines)
+    files = spark.createDataFrame([(unquote(f),) for f in lines.inputFiles()], "file STRING")
     key = F.regexp_replace("file", "^([a-z0-9]+):/+", "$1:/")  # the two sources write "file:/" differently
-    filled = binary.select(F.col("path").alias("file")).select(key.alias("key"))
+    filled = facts.select(key.alias("key")).distinct()
     named = _report(files.filter(~F.lower("file").endswith(".csv")), "file_name", F.lit("not a .csv file"))
     empty = _report(files.withColumn("key", key).join(filled, "key", "left_anti"), "empty_file", F.lit("no header row"))
-    lines = spark.read.text(path).select(file_name().alias("file"), "value")
-    broken = lines.filter(~F.is_valid_utf8("value")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    broken = facts.groupBy("file").agg(F.sum("n_broken").alias("n")).filter("n > 0")
     encoding = _report(broken, "not_utf8", F.concat(F.col("n").cast("string"), F.lit(" lines")))
     # every rule reads the rows: they are parsed once and written
-    found = violations(stage(read_ranking_rows(spark, path), "ranking-cells"), expected_rows)
+    found = violations(stage(parse_rows(lines, facts), "ranking-cells"), expected_rows)
     unreadable = broken.select("file")
     return named.unionByName(empty).unionByName(encoding).unionByName(found.join(unreadable, "file", "left_anti"))

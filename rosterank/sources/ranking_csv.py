@@ -56,13 +56,20 @@ def quoted_after(line: bytes, quoted: bool) -> bool:
 
 def _splits(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[bytes]]]:
     """(file, start, lines) of each split of a file, one after the other; a task holds the lines of one split."""
+    for file, start, _, lines in _sized_splits(parts):
+        yield file, start, lines
+
+
+def _sized_splits(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int | None, list[bytes]]]:
+    """``_splits`` with the file's size where the split is all of it."""
     at, lines = None, []
     for part in parts:
-        for file, start, line in zip(part.column("file").to_pylist(), part.column("start").to_pylist(), part.column("line").to_pylist(), strict=True):
-            if (file, start) != at:
+        sizes = part.column("whole").to_pylist() if "whole" in part.schema.names else [None] * len(part)
+        for file, start, size, line in zip(part.column("file").to_pylist(), part.column("start").to_pylist(), sizes, part.column("line").to_pylist(), strict=True):
+            if (file, start, size) != at:
                 if at is not None:
                     yield *at, lines
-                at, lines = (file, start), []
+                at, lines = (file, start, size), []
             lines.append(line)
     if at is not None:
         yield *at, lines
@@ -81,6 +88,9 @@ def _last_open(lines: list[bytes], quoted: bool) -> tuple[bool, int]:
     return quoted, first
 
 
+#: Whether a split is all of its file.
+WHOLE = "start = 0 AND length >= size"
+
 _PIECES = "file STRING, start BIGINT, bytes BIGINT, open0 BOOLEAN, open1 BOOLEAN, tail0 BINARY, tail1 BINARY, ended1 BOOLEAN"
 _PIECES_SCHEMA = pa.schema(
     [
@@ -129,8 +139,10 @@ def _rows_of(entered: dict[tuple[str, int], dict]):
         csv.field_size_limit(1 << 30)
         names = ["file", "start", "place", "n_cells", "blank", *RANKING_COLUMNS]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.string()] * len(RANKING_COLUMNS)]
-        for file, start, lines in _splits(parts):
-            known = entered.get((file, start), {"quoted": False, "before": b"", "last": False, "bare": False})
+        for file, start, size, lines in _sized_splits(parts):
+            # a file without a line feed at its end is one byte shorter than its lines with theirs
+            bare = size is not None and sum(map(len, lines)) + len(lines) > size
+            known = entered.get((file, start), {"quoted": False, "before": b"", "last": size is not None, "bare": bare})
             open_, first = _last_open(lines, known["quoted"])
             if open_ and not known["last"]:
                 lines = lines[:first]
@@ -150,6 +162,25 @@ def _rows_of(entered: dict[tuple[str, int], dict]):
     return work
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, start and length of the split, size of the file, value: the lines of the files under ``path``, from one listing."""
+    whole = F.col("_metadata.file_size").alias("size")
+    start, length = F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length")
+    return spark.read.option("lineSep", "\n").text(path).select(file_name().alias("file"), start, length, whole, F.col("value"))
+
+
+def split_facts(lines: DataFrame) -> DataFrame:
+    """Written table (file, start, length, size, n_broken) of the splits of ``file_lines``: how many lines are not UTF-8.
+
+    A carriage return ends a line here as well. Lines are taken apart byte by byte, so only those that are not UTF-8.
+    """
+    spelled = F.split(F.regexp_replace(F.hex("value"), "(..)", "$1 "), "0D ")
+    parts = F.filter(spelled, lambda part: ~F.is_valid_utf8(F.unhex(F.replace(part, F.lit(" "), F.lit(""))).cast("string")))
+    broken = F.when(~F.is_valid_utf8("value"), F.size(parts)).otherwise(0)
+    counted = lines.groupBy("file", "start", "length", "size").agg(F.sum(broken).alias("n_broken"))
+    return stage(counted, "split-facts")
+
+
 def read_ranking_rows(spark: SparkSession, path: str) -> DataFrame:
     """file, row_num, n_cells and the first four cells as text; nothing is lost but rows of blank cells.
 
@@ -157,18 +188,26 @@ def read_ranking_rows(spark: SparkSession, path: str) -> DataFrame:
     A file with bytes that are not UTF-8 gives no rows.
 
     Files of any size are read in splits: each split tells what it does to a reader that enters it outside or inside of
-    quotes, a file's splits are put together from that, and then every split parses the records that end in it.
+    quotes, a file's splits are put together from that, and then every split parses the records that end in it. Where all
+    files are one split each, the first of these two scans is left out.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        file_name().alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value"), F.col("_metadata.file_size").alias("size")
-    )
-    broken = stage(lines.filter(~F.is_valid_utf8("value")).select("file").distinct(), "broken-files")
-    raw = lines.select("file", "start", F.col("value").cast("binary").alias("line"))
-    sizes = lines.groupBy("file").agg(F.max("size").alias("size"))
-    pieces = raw.mapInArrow(_pieces, _PIECES).join(sizes, "file")
-    resolved = pieces.groupBy("file").applyInArrow(_resolved, "file STRING, start BIGINT, quoted BOOLEAN, before BINARY, last BOOLEAN, bare BOOLEAN")
-    # only splits that a quoted line break crosses, each with the record so far
-    entered = {(r["file"], r["start"]): r.asDict() for r in stage(resolved, "entered-splits").collect()}
+    lines = file_lines(spark, path)
+    return parse_rows(lines, split_facts(lines))
+
+
+def parse_rows(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """``read_ranking_rows`` of ``file_lines`` and their ``split_facts``."""
+    broken = facts.filter("n_broken > 0").select("file").distinct()
+    raw = lines.select("file", "start", "length", "size", F.col("value").cast("binary").alias("line"))
+    whole = F.expr(WHOLE)
+    entered = {}
+    if not facts.filter(~whole).isEmpty():
+        sizes = facts.groupBy("file").agg(F.max("size").alias("size"))
+        pieces = raw.filter(~whole).select("file", "start", "line").mapInArrow(_pieces, _PIECES).join(sizes, "file")
+        resolved = pieces.groupBy("file").applyInArrow(_resolved, "file STRING, start BIGINT, quoted BOOLEAN, before BINARY, last BOOLEAN, bare BOOLEAN")
+        # only splits that a quoted line break crosses, each with the record so far
+        entered = {(r["file"], r["start"]): r.asDict() for r in stage(resolved, "entered-splits").collect()}
+    raw = raw.select("file", "start", "line", F.when(whole, F.col("size")).alias("whole"))
     cells = ", ".join(f"`{c}` STRING" for c in RANKING_COLUMNS)
     parsed = raw.mapInArrow(_rows_of(entered), f"file STRING, start BIGINT, place BIGINT, n_cells INT, blank BOOLEAN, {cells}")
     parsed = stage(parsed, "parsed-rows")

@@ -5,8 +5,9 @@ import random
 from pathlib import Path
 
 from catalog import registry
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
-from rosterank import vocab
+from rosterank import check_files, read_ranking_rows, vocab
 from rosterank.functions import jd_text
 from rosterank.operators import tfidf
 from rosterank.plans import jobs
@@ -73,3 +74,24 @@ def test_array_files_are_compressed(spark, tmp_path):
     made = [f for folder in set(root.iterdir()) - before for f in folder.rglob("part-*") if folder.name.startswith(("arrays", "lines"))]
     assert len([f for f in made if f.parent.name.startswith("file=")]) == 6
     assert made and all(f.name.endswith(".txt.gz") for f in made)
+
+
+def test_files_are_listed_once(spark, tmp_path, monkeypatch):
+    """Before, they were listed three times and scanned eight times."""
+    header = b"candidate_id,rank,score,reasoning\n"
+    (tmp_path / "a.csv").write_bytes(header + b'CAND_0000001,1,0.5,"open')
+    (tmp_path / "b.csv").write_bytes(header + b"x\xff\ry\rz\xfe\r\n\xc3\rA0\xd0\n")
+    (tmp_path / "c.csv").write_bytes(b"")
+    (tmp_path / "d.csv").write_bytes(b'\n"x\ny",1\n')
+    calls = []
+    for name in ("text", "load"):
+        monkeypatch.setattr(DataFrameReader, name, lambda self, *a, f=getattr(DataFrameReader, name), **b: calls.append(a) or f(self, *a, **b))
+    root = Path(staging_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    report = check_files(spark, f"{tmp_path}/*.csv", 1)
+    assert len(calls) == 1
+    assert not [f for f in set(root.iterdir()) - before if f.name.startswith("entered-splits")]  # each file is one split
+    got = sorted((r["file"][-5:], r["rule"], r["detail"]) for r in report.filter("rule in ('not_utf8', 'empty_file', 'row_count', 'header')").collect())
+    assert got == [("b.csv", "not_utf8", "4 lines"), ("c.csv", "empty_file", "no header row"), ("d.csv", "header", "")]
+    rows = {(r["file"][-5:], r["row_num"]): r["reasoning"] or r["candidate_id"] for r in read_ranking_rows(spark, f"{tmp_path}/*.csv").collect()}
+    assert rows == {("a.csv", 1): "reasoning", ("a.csv", 2): "open", ("d.csv", 1): None, ("d.csv", 2): "x\ny"}
