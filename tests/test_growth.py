@@ -1,13 +1,14 @@
 """Work that has to grow with the input and no faster."""
 
 import datetime as dt
+import gzip
 import random
 from pathlib import Path
 
 from catalog import registry
 from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
-from rosterank import check_files, read_ranking_rows, vocab
+from rosterank import check_files, load_candidates, read_ranking_rows, vocab
 from rosterank.functions import jd_text
 from rosterank.operators import tfidf
 from rosterank.plans import jobs
@@ -76,6 +77,29 @@ def test_array_files_are_compressed(spark, tmp_path):
     assert made and all(f.name.endswith(".txt.gz") for f in made)
 
 
+def test_bounded_gzip_files_are_read_unshuffled(spark, tmp_path, monkeypatch):
+    """Before, the profiles of gzip files were shuffled once read, and a file held all of its task."""
+    day = dt.datetime(2023, 5, 1)
+    orders = [(k, k and k % 40, "O", 100.0 + (k or 0), day, "1-URGENT") for k in [*range(0, 450, 3), 7, 7, None, 12_345_678]]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(n, n % 20, "click") for n in range(60)], "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(registry, "FILE_ROWS", 5)
+    root = Path(staging_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    found = registry.json_roundtrip(spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    each = {kind: sorted(str(tuple(r)[1:]) for r in rows if r["format"] == kind) for kind in ("lines", "gzip")}
+    assert each["lines"] == each["gzip"] and len(each["lines"]) == len(orders)
+    made = [f for folder in set(root.iterdir()) - before for f in folder.rglob("part-*") if folder.name.startswith(("lines", "gzip"))]
+    packed = {f: gzip.open(f, "rt").read().splitlines() for f in made if f.name.endswith(".gz")}
+    plain = [line for f in made if f.name.endswith(".json") for line in f.read_text().splitlines()]
+    assert sorted(plain) == sorted(sum(packed.values(), []))  # both forms are written, whole profiles in each
+    assert max(map(len, packed.values())) <= 5
+    whole = load_candidates(spark, str(next(iter(packed))), partitions=3)
+    assert whole.rdd.getNumPartitions() == 3  # any other gzip file is spread
+
+
 def test_files_are_listed_once(spark, tmp_path, monkeypatch):
     """Before, they were listed three times and scanned eight times."""
     header = b"candidate_id,rank,score,reasoning\n"
