@@ -3,13 +3,17 @@
 import datetime as dt
 import gzip
 import random
+import unicodedata
+from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 from catalog import registry
 from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 from rosterank import check_files, load_candidates, read_ranking_rows, vocab
-from rosterank.functions import jd_text
+from rosterank.functions import jd_text, term_slices
+from rosterank.functions.texts import strip_marks
 from rosterank.operators import tfidf
 from rosterank.plans import jobs
 from rosterank.staging import staging_root
@@ -42,6 +46,63 @@ def test_rare_words_are_not_numbered(spark, monkeypatch):
     assert found() == want
 
 
+def test_rare_terms_are_not_counted_by_name(spark, monkeypatch):
+    """Before, every word and pair of a pool was shuffled with its count, once for each description."""
+    rng = random.Random(6)
+    common = [f"w{i}" for i in range(8)]
+    sets = [["a"], ["a", "b"], ["b", "c"], ["c"], ["d"], [], None]
+    rows = [(n // 2 if n < 6 else n, rng.choice(sets), " ".join([*rng.choices(common, k=12), f"junk{n}", f"wort\u00e9{n}"])) for n in range(400)]
+    texts = spark.createDataFrame([*rows, (900, ["a"], None)], "text_id int, jd_ids array<string>, text string")
+    jds = spark.createDataFrame([(x, f"w1 w2 alone{x}") for x in "abcde"], "jd_id string, text string")
+    words = lambda t: [strip_marks(w) for w in t.split()]
+    terms = lambda ws: Counter([*ws, *map(" ".join, zip(ws, ws[1:], strict=False))])
+    want = []
+    for x in "abcde":
+        alike = {}  # texts with one id are one
+        for n, jd_ids, text in rows:
+            if x in (jd_ids or []):
+                alike.setdefault((n, tuple(jd_ids)), Counter()).update(terms(words(text)))
+        own, cf, df = terms(words(f"w1 w2 alone{x}")), Counter(), Counter()
+        for counts in [*alike.values(), own]:
+            cf.update(counts)
+            df.update(counts.keys())
+        n_texts = sum(x in (jd_ids or []) for _, jd_ids, _ in [*rows, (900, ["a"], None)]) + 1
+        want += [(x, t, df[t], n_texts, own[t]) for t in sorted(cf, key=lambda t: (-cf[t], t))[:15]]
+    counted = []
+    likely = tfidf.likely_terms
+
+    def told(*args):
+        bounds, counts = likely(*args)
+        counted.extend(r["term"] for c in counts for r in c.select("term").distinct().collect())
+        return bounds, counts
+
+    monkeypatch.setattr(tfidf, "likely_terms", told)
+    found = lambda: sorted(tuple(r) for r in tfidf.fit_vocabulary(texts, jds, 15).collect())
+    assert found() == sorted(want)
+    assert counted and sum("junk" in t or "worte" in t for t in counted) < 100  # of 1,600
+    monkeypatch.setattr(tfidf, "MAX_SET_BOUNDS", 0)
+    monkeypatch.setattr(tfidf, "CLASSES", 2)
+    monkeypatch.setattr(term_slices, "SUM_ROWS", 10)
+    assert found() == sorted(want)
+
+
+def test_accents_are_folded_in_slices(spark):
+    """Before, every pass folded all texts with accents in the JVM, character by character."""
+    texts = ["caf\u00e9 na\u00efve x", "\u00bdab\u2026cd", None, "", "\u4e2d\u6587\u3002\u5b57\u5b57 \ufb01n", "\ud55c\uae00 \u2121x", "a\u2014bc_\u0301d \u200d", "e\u0301e \u0391\u0392 11", "one-two\u2028three"]
+    tokens = term_slices.Tokens.of(next(term_slices.slices(iter([pa.record_batch({"text": pa.array(texts)})]))).column("text"))
+    got = [[] for _ in texts]
+    for row, code in zip(tokens.row, tokens.code, strict=True):
+        got[row].append(tokens.words[code].as_py())
+    letter = lambda c: c == "_" or unicodedata.category(c)[0] in "LN"
+    plain = ["".join(c if letter(c) else " " for c in strip_marks(t or "")) for t in texts]
+    plain = ["".join(c.lower() if c < "\x80" else c for c in t) for t in plain]
+    assert got == [[w for w in t.split() if len(w) > 1] for t in plain]
+    ends = [(tokens.words[tokens.code[k]].as_py(), tokens.words[tokens.code[k + 1]].as_py()) for k in tokens.linked]
+    assert ("cafe", "naive") in ends and ("one", "two") in ends and ("two", "three") not in ends  # a break parts them
+    rows = spark.createDataFrame([(1, ["j"], "\u00c9t\u00e9")], "text_id int, jd_ids array<string>, text string")
+    assert "translate" not in tfidf.one_per_id(rows)[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_combined_weights_are_made_once(spark):
     terms = vocab.tiered_terms()
     features = spark.createDataFrame(
