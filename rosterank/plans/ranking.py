@@ -204,17 +204,21 @@ def rerank_ties(ranked: DataFrame, key: str = "jd_id") -> DataFrame:
     return ranked.withColumnRenamed("rank", "listed_rank").withColumn("rank", F.row_number().over(order))
 
 
+def _explainable(pool: DataFrame) -> DataFrame:
+    """What explanations say of a profile; its summary is not even read."""
+    some = F.struct(*[F.col(f"profile.{name}") for name in ("years_of_experience", "current_company", "location")])
+    return pool.select("candidate_id", "jd_ids", some.alias("profile"), "career_history", "skills", "signals")
+
+
 def explain_ranked(ranked: DataFrame, pool: DataFrame, features: DataFrame) -> DataFrame:
     """Add ``reasoning``. ``ranked`` holds at most k rows per description, so it is broadcast to the pool."""
-    profiles = pool.select("candidate_id", "jd_ids", "profile", "career_history", "skills", "signals")
-    found = profiles.join(F.broadcast(ranked), "candidate_id").filter(F.array_contains("jd_ids", F.col("jd_id")))
+    found = _explainable(pool).join(F.broadcast(ranked), "candidate_id").filter(F.array_contains("jd_ids", F.col("jd_id")))
     return _explain(found, ranked.columns, features)
 
 
 def explain_pairs(pool: DataFrame, pairs: DataFrame, features: DataFrame) -> DataFrame:
     """``explain_ranked`` for any number of pairs: both sides are shuffled on the candidate."""
-    profiles = pool.select("candidate_id", "jd_ids", "profile", "career_history", "skills", "signals")
-    found = profiles.join(pairs, "candidate_id").filter(F.array_contains("jd_ids", F.col("jd_id")))
+    found = _explainable(pool).join(pairs, "candidate_id").filter(F.array_contains("jd_ids", F.col("jd_id")))
     return _explain(found, pairs.columns, features)
 
 

@@ -15,7 +15,7 @@ from rosterank import check_files, load_candidates, read_ranking_rows, vocab
 from rosterank.functions import jd_text, term_slices
 from rosterank.functions.texts import strip_marks
 from rosterank.operators import tfidf
-from rosterank.plans import jobs
+from rosterank.plans import jobs, ranking
 from rosterank.staging import staging_root
 
 
@@ -103,6 +103,23 @@ def test_accents_are_folded_in_slices(spark):
     assert "translate" not in tfidf.one_per_id(rows)[0]._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_explanations_read_no_summary(spark, tmp_path):
+    """Before, whole profiles with their texts were read to explain a few of them."""
+    kinds = "candidate_id string, jd_ids array<string>, profile struct<years_of_experience:double,current_title:string,current_company:string,location:string,summary:string>, "
+    kinds += "career_history array<struct<title:string,company:string,description:string>>, skills array<struct<name:string,proficiency:string,duration_months:bigint>>, "
+    kinds += "signals struct<recruiter_response_rate:double,notice_period_days:bigint,willing_to_relocate:boolean>"
+    made = [("c1", ["j"], (4.0, "t", "co", "Pune", "long text"), [("E", "A", "uses spark")], [("Spark", "expert", 5)], (0.5, 20, True)), ("c2", ["j"], None, None, None, None)]
+    spark.createDataFrame(made, kinds).write.parquet(f"{tmp_path}/pool")
+    about = spark.createDataFrame([("j", 3, 6, ["pune"], [("spark", 1.0)])], "jd_id string, exp_min bigint, exp_max bigint, locations array<string>, skill_weights array<struct<term:string,weight:double>>")
+    ranked = spark.createDataFrame([("j", "c1", 1, 0.7, 1.2), ("j", "c2", 2, 0.1, 0.5)], "jd_id string, candidate_id string, rank int, skill double, behavior double")
+    pool = spark.read.parquet(f"{tmp_path}/pool")
+    for explained in (ranking.explain_ranked(ranked, pool, about), ranking.explain_pairs(pool, ranked, about)):
+        got = {r["candidate_id"]: r["reasoning"] for r in explained.collect()}
+        assert got["c1"] == "Strong fit: 4yr exp, strong skill match (Spark); shipped E at A. Active on platform, 50% response rate; available in 20d; based in pune."
+        assert got["c2"].startswith("Strong fit: 0yr exp")
+        assert "summary" not in explained._jdf.queryExecution().executedPlan().toString()
+
+
 def test_combined_weights_are_made_once(spark):
     terms = vocab.tiered_terms()
     features = spark.createDataFrame(
